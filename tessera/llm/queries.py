@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import decontaminate, lang_id, packing, toxicity
 from tessera.llm.exact_dedup import dedup_exact
+from tessera.llm.secret_scan import secrets_by_document
 from tessera.llm.simhash import simhash_groups
 from tessera.llm.substring_dedup import dedup_windows
 from tessera.llm.suffix_dedup import dedup_suffixes
+from tessera.llm.url_filter import SOFT, STRICT, filter_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -20,22 +23,78 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_suffixes(docs, min_len=50, with_text=False).drop("kept_text")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return decontaminate.find_contaminated(docs, _table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = _table(spark, sf_dir, "labels", "doc_id", "toxic")
+    model = toxicity.train(docs, labels, held_out=toxicity.held_out_by_crc("doc_id", 5, 0))
+    scored = toxicity.score_documents(docs, model)
+    return scored.select("doc_id", toxicity.held_out_by_crc("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages", "page_id", "url")).drop("weight")
+
+
+def op5_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = lang_id.train(docs, held_out=held_out)
+    got = lang_id.predict(docs.select("doc_id", "text"), model)
+    return got.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents", "doc_id", "text"), words=3)
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), room=2048, end_id=1)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_exact(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_by_document(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     return dedup_windows(docs, window=35, with_text=False).drop("kept_text")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op6_simhash, op8_exact_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_toxicity, op4_url_filter, op5_lang_id, op6_simhash, op7_packing, op8_exact_dedup, op9_secret_scan, op10_substring_dedup)}
+
+def _hit(term: str) -> str:
+    return f"regexp_matches(u, '(^|[^a-z0-9]){term}($|[^a-z0-9])')"
+
+
+_OP4 = f"""
+    WITH p AS (SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS mark FROM pages),
+    r AS (SELECT page_id, lower(url) AS u, CASE WHEN mark > 0 THEN substr(url, mark + 3) ELSE '' END AS rest FROM p),
+    h AS (SELECT page_id, u, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+    d AS (SELECT *, concat('.', host) AS dot,
+                 CASE WHEN {" OR ".join(map(_hit, STRICT))}
+                        OR {" + ".join(f"CASE WHEN {_hit(t)} THEN 1 ELSE 0 END" for t in SOFT)} >= 2 THEN 'block' ELSE 'allow' END AS own FROM h),
+    x AS (SELECT *, CASE WHEN suffix(dot, '.example.com') AND starts_with(path, '/en/7') THEN 'example.com/en/7'
+                         WHEN suffix(dot, '.example.net') AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+                         WHEN suffix(dot, '.com') AND starts_with(path, '/en/') THEN 'com/en/'
+                         WHEN suffix(dot, '.net') AND starts_with(path, '/de/') THEN 'net/de/'
+                         WHEN suffix(dot, '.org') AND starts_with(path, '/es/') THEN 'org/es/' END AS rule FROM d)
+    SELECT page_id, host, path, rule,
+           CASE WHEN rule IS NULL THEN own WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' ELSE 'block' END AS verdict FROM x"""
 
 ORACLE: dict[str, str] = {
+    "op4_url_filter": _OP4,
     "op8_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
