@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -59,6 +60,8 @@ class Workspace:
         path = f"{self.root}/{self.n:03d}-{name}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files that led to the table
         out._tessera_path = path
         return out
 
