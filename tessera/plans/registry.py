@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = ("aggregates", "scalar", "joins", "evaluation", "linkage", "modelling")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
@@ -25,13 +27,20 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _load() -> None:
+    for m in MODULES:
+        importlib.import_module(f"tessera.plans.{m}")
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next(iter(_QUERIES.values()))(spark, sf_dir)
+    return queries()["exclusion_flow"](spark, sf_dir)
