@@ -297,7 +297,7 @@ def parse_alternate_urls(c: Column) -> Column:
 # Zones as offsets.
 ZONES = (("PDT", "-0700"), ("PST", "-0800"), ("EDT", "-0400"), ("EST", "-0500"), ("CDT", "-0500"), ("CST", "-0600"))
 #: Formats that free text may have; anything else is no date.
-DATE_FORMATS = ("yyyy-MM-dd'T'HH:mm:ssX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ssZ", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "MMMM d, yyyy, h:mm a Z", "MMMM d, yyyy h:mm a Z", "EEE, d MMM yyyy HH:mm:ss Z")
+DATE_FORMATS = ("yyyy-MM-dd'T'HH:mm:ssX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ssZ", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "MMMM d, yyyy, h:mm a Z", "MMMM d, yyyy h:mm a Z")
 
 
 def publication_time(c: Column) -> Column:
