@@ -15,32 +15,54 @@ columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import ragged, texts_of
+from tessera.llm.blocks import Words, ragged, slices, texts_of
 from tessera.runtime import Workspace
 
 
+#: A word of Latin letters that normalisation only lower-cases, and closing marks: two pre-tokens at most.
+_WORD = re.compile("([A-Za-zß-öø-ÿÀ-ÖØ-Þ]+)([.,;:!?]*)")
+
+
+_BLANKS = bytes(32 if 9 <= i <= 13 else i for i in range(256))
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable bytes themselves, others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class ChunkTokenizer:
     """Token ids of whole texts, by a cache over runs of non-space bytes.
 
-    For a tokenizer whose pre-tokens never cross ASCII white space (which it
-    drops), a text's ids are its chunks' ids one after another; a chunk met
-    before costs a dictionary look-up.
+    For a byte-level tokenizer whose pre-tokens never cross ASCII white space
+    (which it drops) and are runs of letters or of marks, lower-cased: a
+    text's ids are its chunks' ids one after another, and a chunk of letters
+    and closing marks has the ids of the two. A chunk met before costs a
+    dictionary look-up, a new one with a known word little more; every other
+    chunk goes through the tokenizer whole.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
         self.most = most
+        self.words: dict[str, list[int]] = {"": []}
         self._clear()
 
     def _clear(self) -> None:
@@ -50,11 +72,31 @@ class ChunkTokenizer:
         self.size = np.empty(1 << 16, dtype=np.int64)
         self.used = 0
 
+    def _pre_token(self, s: str) -> list[int]:
+        got = self.words.get(s)
+        if got is None:
+            if len(self.words) > self.most:
+                self.words = {"": []}
+            shown = s if s.isascii() else "".join([self.letters[b] for b in s.encode()])
+            got = self.words[s] = [t.id for t in self.model.tokenize(shown)]
+        return got
+
     def _add(self, chunks: list[bytes]) -> None:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         for at in range(0, len(chunks), 4096):
             part = chunks[at : at + 4096]
-            got = [e.ids for e in encode([c.decode() for c in part], add_special_tokens=False)]
+            got: list = [None] * len(part)
+            other: list[int] = []
+            texts = [c.decode() for c in part]
+            for i, c in enumerate(texts):
+                if m := _WORD.fullmatch(c):
+                    word, marks = m.groups()
+                    ids = self._pre_token(word.lower())
+                    got[i] = ids + self._pre_token(marks) if marks else ids
+                else:
+                    other.append(i)
+            for i, e in zip(other, encode([texts[i] for i in other], add_special_tokens=False), strict=True):
+                got[i] = e.ids
             n = len(self.place)
             sizes = np.fromiter(map(len, got), np.int64, len(got))
             total = int(sizes.sum())
@@ -64,31 +106,28 @@ class ChunkTokenizer:
                 self.ids = np.concatenate([self.ids] * 2)
             self.start[n : n + len(part)] = self.used + np.cumsum(sizes) - sizes
             self.size[n : n + len(part)] = sizes
-            self.ids[self.used : self.used + total] = np.fromiter((i for x in got for i in x), np.uint32, total)
+            self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), np.uint32, total)
             self.used += total
             self.place.update(zip(part, range(n, n + len(part)), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         out = []
-        at = 0
-        while at < len(texts):  # slices of about four megabytes
-            to, size = at, 0
-            while to < len(texts) and (to == at or size + len(texts[to]) < 4 << 20):
-                size += len(texts[to])
-                to += 1
-            split = [t.split() for t in texts[at:to]]
-            new: set[bytes] = set()
-            for chunks in split:
-                new.update(set(chunks).difference(self.place))
+        for part in slices(texts, 4 << 20):
+            w = Words([t.translate(_BLANKS) for t in texts[part]])
+            _, first, inverse = np.unique(w.hashes(0), return_index=True, return_inverse=True)
+            raw = w.buf.tobytes()
+            chunks = [raw[a:b] for a, b in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)]
+            new = [c for c in chunks if c not in self.place]
             if new:
                 if len(self.place) + len(new) > self.most and self.place:
                     self._clear()
-                    new = set().union(*map(set, split))
-                self._add(sorted(new))
-            for chunks in split:
-                ix = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
-                out.append(self.ids[ragged(self.start[ix], self.size[ix])])
-            at = to
+                    new = chunks
+                self._add(new)
+            ix = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))[inverse]
+            flat = self.ids[ragged(self.start[ix], self.size[ix])]
+            ends = np.concatenate([[0], np.cumsum(self.size[ix])])
+            cut = ends[np.concatenate([w.first, [len(ix)]])].tolist()
+            out += [flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
         return out
 
 
