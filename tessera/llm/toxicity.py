@@ -46,7 +46,12 @@ _PLAIN = str.maketrans(HOMOGLYPHS)
 _DIGITS = str.maketrans(SIGNS)
 _MARKS = re.compile("[\u0300-\u036f]+")
 _ODD = re.compile(r"[^\s0134578@$!|]*[0134578@$!|]\S*")
-_EDGE = ".,;:?|!"
+
+
+def _bare(word: str) -> str:
+    """A word without marks around it; signs that may stand for its first letter stay."""
+    return word.strip(".,;:?\"'()").rstrip("!|.,;:?")
+
 
 
 def fold(text: str) -> str:
@@ -66,8 +71,8 @@ def words(text: str) -> set[str]:
     """Distinct folded words, for learning."""
     out = set()
     for w in fold(text).split():
-        if not w.isalpha() and _letters(w.strip(".,;:!?|")):
-            w = w.strip(".,;:!?|").translate(_DIGITS)
+        if not w.isalpha() and _letters(_bare(w)):
+            w = _bare(w).translate(_DIGITS)
         out.add("".join(c for c in w if c.isalnum()))
     out.discard("")
     return out
@@ -100,7 +105,7 @@ class Model:
         """Total weight of the counted hits, and their number."""
         t = fold(text)
         total, n = self._scan(t)
-        odd = [w for w in (x.strip(_EDGE) for x in _ODD.findall(t)) if _letters(w)]
+        odd = [w for w in map(_bare, _ODD.findall(t)) if _letters(w)]
         if odd:  # words that hold signs are read once more, as letters
             plain, _ = self._scan(" ".join(odd))
             more, k = self._scan(" ".join(odd).translate(_DIGITS))
