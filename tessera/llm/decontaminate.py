@@ -120,36 +120,55 @@ def _sequences(docs: DataFrame, vocab: np.ndarray, id_col: str, text_col: str) -
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_words long, found binary")
 
 
-def _passages(batch: pa.RecordBatch, width: int):
-    """Distinct (passage, term) of a batch: row of the document, passage number, term. Passages overlap by half."""
-    half = width // 2
+def _small(batch: pa.RecordBatch, rows: int = 500):
+    """Parts of a batch whose passages take little memory."""
+    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
+def _hits(batch: pa.RecordBatch, keep: np.ndarray | None):
+    """Row, place and term of every stored word, of kept terms only if told which."""
     rows, places, terms = [], [], []
     for r, blob in enumerate(batch.column("found").to_pylist()):
         if blob is not None:
             p, t = B.unpack(blob, np.int32, np.int32)
+            if keep is not None:
+                own = keep[t]
+                p, t = p[own], t[own]
             rows.append(np.full(len(p), r, dtype=np.int64))
             places.append(p)
             terms.append(t)
     if not rows:
-        z = np.empty(0, np.int64)
-        return z, z, z
-    row, place, term = np.concatenate(rows), np.concatenate(places).astype(np.int64), np.concatenate(terms).astype(np.int64)
-    n = place // half
-    row, num, term = np.concatenate([row, row]), np.concatenate([n, n - 1]), np.concatenate([term, term])
-    ok = num >= 0
-    row, num, term = row[ok], num[ok], term[ok]
-    key = (row << 42) | (num << 21) | term
-    key = np.unique(key)
+        return (np.empty(0, np.int64),) * 3
+    return np.concatenate(rows), np.concatenate(places).astype(np.int64), np.concatenate(terms).astype(np.int64)
+
+
+def _key(row: np.ndarray, num: np.ndarray, term: np.ndarray):
+    key = np.unique((row << 42) | (num << 21) | term)
     return key >> 42, (key >> 21) & ((1 << 21) - 1), key & ((1 << 21) - 1)
 
 
+def _blocks(batch: pa.RecordBatch, width: int) -> np.ndarray:
+    """Term of every distinct (half passage, term): what frequencies count."""
+    row, place, term = _hits(batch, None)
+    return _key(row, place // (width // 2), term)[2]
+
+
+def _passages(batch: pa.RecordBatch, width: int, keep: np.ndarray):
+    """Distinct (passage, term) of kept terms: row of the document, passage number, term. Passages overlap by half."""
+    row, place, term = _hits(batch, keep)
+    n = place // (width // 2)
+    ok = n > 0
+    return _key(np.concatenate([row, row[ok]]), np.concatenate([n, n[ok] - 1]), np.concatenate([term, term[ok]]))
+
+
 def _sum_rows(df: DataFrame, run, shape: tuple[int, ...], slice_rows: int = 512) -> np.ndarray:
     """Sum of one array a task, added up by slices of rows before anything reaches the driver."""
 
     def local(batches):
         total = np.zeros(shape)
         for b in batches:
-            run(b, total)
+            for part in _small(b):
+                run(part, total)
         starts = range(0, shape[0], slice_rows)
         yield pa.RecordBatch.from_arrays([pa.array(list(starts), pa.int64()), pa.array([total[s : s + slice_rows].astype(np.float32).tobytes() if total.ndim > 1 else total[s : s + slice_rows].tobytes() for s in starts], pa.binary())], ["slice", "part"])
 
@@ -174,7 +193,7 @@ def _space(seqs: DataFrame, items: Items, width: int, rank: int, common: float,
     spark = seqs.sparkSession
     v = len(items.vocab)
     n_passages = int(seqs.agg(F.sum(F.ceil(F.greatest(F.col("n_words"), F.lit(1)) / (width // 2)))).first()[0] or 1)
-    df = _sum_rows(seqs, lambda b, out: np.add(out, np.bincount(_passages(b, width)[2], minlength=v), out=out), (v,))
+    df = _sum_rows(seqs, lambda b, out: np.add(out, np.bincount(_blocks(b, width), minlength=v), out=out), (v,))
     idf = np.log((1 + n_passages) / (1 + df)) + 0.1
     keep = df <= common * n_passages
     for seq in items.terms:  # an item of frequent words keeps its rarest ones, so that copies cannot hide it
@@ -193,9 +212,8 @@ def _space(seqs: DataFrame, items: Items, width: int, rank: int, common: float,
 
         def times(b: pa.RecordBatch, out: np.ndarray) -> None:
             weight, basis = shared.value
-            row, num, term = _passages(b, width)
-            use = weight[term] > 0
-            key, term = ((row << 21) | num)[use], term[use]
+            row, num, term = _passages(b, width, weight > 0)
+            key = (row << 21) | num
             if not len(key):
                 return
             start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -261,10 +279,8 @@ def _search(seqs: DataFrame, items: Items, space: Space, width: int, cosine: flo
     def run(batches):
         items, space = shared.value
         half = width // 2
-        for b in batches:
-            row, num, term = _passages(b, width)
-            use = space.weight[term] > 0
-            row, num, term = row[use], num[use], term[use]
+        for b in (part for whole in batches for part in _small(whole)):
+            row, num, term = _passages(b, width, space.weight > 0)
             key = (row << 21) | num
             start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
             size = np.diff(np.append(start, len(key)))
@@ -304,7 +320,7 @@ def _search(seqs: DataFrame, items: Items, space: Space, width: int, cosine: flo
     return seqs.mapInArrow(run, OUT)
 
 
-def find_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, width: int = 32, cosine: float = 0.45, rank: int = 512, common: float = 0.01, telling: int = 8, rounds: int = 2, item_block: int = 2000) -> DataFrame:
+def find_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, width: int = 32, cosine: float = 0.45, rank: int = 512, common: float = 0.002, telling: int = 8, rounds: int = 1, item_block: int = 2000) -> DataFrame:
     """One row per document: doc_id, contaminated, item_id (the best match, null if no candidate), lcs, cosine."""
     ws = Workspace(docs.sparkSession)
     answer = F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")
