@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,13 +58,30 @@ def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return df.withColumnRenamed(first, "source_index") if first in ("_c0", "Unnamed: 0", "") else df
 
 
+def list_files(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths of a glob, by Hadoop's file systems."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(x.getPath().toString() for x in found or ())
+
+
+def read_csv_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Files that may differ in their columns, united by name, with ``file``; files of one header are one scan."""
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for p in paths:
+        groups.setdefault(tuple(read_csv(spark, p).columns), []).append(p)
+    if not groups:
+        raise FileNotFoundError("no CSV files")
+    parts = [read_csv(spark, own).withColumn("file", F.input_file_name()) for own in groups.values()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def read_csv_items(spark: SparkSession, root: str, dataset: str = "coaid") -> DataFrame:
     """Items of ``root/<date>/*.csv``; sidecars of tweets and replies give the counts.
 
     The folder is the collection date; unit and label come from the file name.
     """
-    df = read_csv(spark, f"{root}/*/[!.]*.csv").withColumn("file", F.input_file_name())
-    df = df.where(~F.col("file").rlike("_(tweets|replies)[^/]*$"))
+    df = read_csv_files(spark, [p for p in list_files(spark, f"{root}/*/*.csv") if not re.search(r"_(tweets|replies)[^/]*$", p)])
     for c in ("newstitle", "title", "content", "abstract", "news_url", "news_url2", "news_url3", "news_url4", "news_url5", "publish_date"):
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("string"))
