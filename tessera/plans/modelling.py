@@ -164,3 +164,37 @@ def sink_json_strict(spark, sf):
 
     k = keyed(spark, sf).select("record_id", F.when(F.col("y") == 1, F.col("score_a")).otherwise(F.lit(float("nan"))).alias("score"))
     return strict(k)
+
+
+@query("topic_proxy")
+def topic_proxy(spark, sf):
+    from tessera.operators.shift import topic_mix
+    from tessera.operators.topics import topic_proxy
+
+    d = items(spark, sf).where("doc_id % 5 = 0").select("record_id", F.when(F.col("dataset") == "en", 0).otherwise(1).alias("side"), F.col("body_text").alias("text"))
+    mixtures, _ = topic_proxy(d, "side", topics=5, max_features=2000, rounds=6)
+    return topic_mix(mixtures, "weights", "side")
+
+
+@query("shift_bundle")
+def shift_bundle(spark, sf):
+    from tessera.operators import shift as S
+    from tessera.functions.text import tokens
+
+    d = items(spark, sf).withColumn("side", F.when(F.col("dataset") == "en", 0).otherwise(1))
+    parts = [S.categorical_shift(d, c, "side").select(F.lit(c).alias("component"), "tv", "js") for c in ("text_unit", "harmonized_label", "source_name")]
+    v = S.vocab_shift(S.vocabulary(d, tokens(F.col("body_text")), "side")).select(F.lit("vocabulary").alias("component"), F.lit(None).cast("double").alias("tv"), "js")
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(v)
+    return out.unpivot(["component"], ["tv", "js"], "metric", "value")
+
+
+@query("transfer_degradation_rows")
+def transfer_degradation_rows(spark, sf):
+    from tessera.operators.transfer import SAME, comparator_spec, degradation
+
+    k = keyed(spark, sf)
+    own, base = (k.select("record_id", "y", F.col(p).alias("p"), F.col(s).alias("score")) for p, s in (("pb", "score_b"), ("pa", "score_a")))
+    spec = comparator_spec("a", "b", "full_text", "logistic_regression", SAME)
+    summary = spark.createDataFrame([(spec.experiment_id, 10, 0.5, 0.5, 0.5, 0.5)], "experiment_id string, n int, macro_f1 double, unreliable_f1 double, unreliable_recall double, pr_auc double")
+    got = degradation(own.where("record_id % 2 = 0"), spec, summary, spec.config(), base)
+    return got.select("metric", "status", *[F.round(c, 6).alias(c) for c in ("in_domain", "transfer", "delta", "relative_delta")])
