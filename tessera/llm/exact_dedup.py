@@ -28,6 +28,7 @@ from tessera.runtime import Workspace
 
 SLICE = 1 << 20  # slots
 HASHES = 4
+HELD = 1 << 19  # hashes that a task holds before it sends bits
 
 
 def text_hash(text_col: str = "text") -> Column:
@@ -54,13 +55,23 @@ def repeat_filter(hashes: DataFrame, column: str, m: int) -> dict[int, bytes]:
     """Slices of the 'seen twice' bits over all values of a long column."""
     size = min(m, SLICE)
 
+    def part(held: list[np.ndarray]) -> pa.RecordBatch:
+        s = _slots(np.concatenate(held), m).reshape(-1)
+        values, times = np.unique(s, return_counts=True)
+        cuts = np.searchsorted(values, np.arange(0, m + size, size))
+        rows = [(i, _bits(values[x:y], i * size, size), _bits(values[x:y][times[x:y] > 1], i * size, size)) for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["slice", "once", "twice"])
+
     def local(batches):
-        for b in batches:  # merged by slices below, so each batch may stand alone
-            s = _slots(np.asarray(b.column(0).to_numpy(zero_copy_only=False), dtype=np.int64), m).reshape(-1)
-            values, times = np.unique(s, return_counts=True)
-            cuts = np.searchsorted(values, np.arange(0, m + size, size))
-            rows = [(i, _bits(values[x:y], i * size, size), _bits(values[x:y][times[x:y] > 1], i * size, size)) for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["slice", "once", "twice"])
+        held, n = [], 0
+        for b in batches:
+            held.append(np.asarray(b.column(0).to_numpy(zero_copy_only=False), dtype=np.int64))
+            n += len(held[-1])
+            if n >= HELD:
+                yield part(held)
+                held, n = [], 0
+        if n:
+            yield part(held)
 
     def merge(t: pa.Table) -> pa.Table:
         once, twice = np.zeros(size // 8, dtype=np.uint8), np.zeros(size // 8, dtype=np.uint8)
