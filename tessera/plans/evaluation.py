@@ -152,7 +152,27 @@ def bootstrap_draws(spark, sf):
     return s.withColumn("draw", F.substring(F.sha1(F.concat_ws("|", F.lit("613"), F.col("replicate").cast("string"), F.col("grp").cast("string")).cast("binary")), 1, 8))
 
 
-@query("bootstrap_intervals")
+# Poisson(1) weights out of a hash, as operators.evaluation.draw_count has them
+_CUM = []
+_term, _total = 0.36787944117144233, 0.0
+for _k in range(8):
+    _total += _term
+    _CUM.append(_total)
+    _term /= _k + 1
+
+
+def draws(replicate: str, unit: str) -> str:
+    u = f"(CAST(concat('0x', substr(sha1(concat('613|', CAST({replicate} AS VARCHAR), '|', CAST({unit} AS VARCHAR))), 1, 8)) AS BIGINT) / 4294967296.0e0)"
+    return "CASE " + " ".join(f"WHEN {u} < {c!r}e0 THEN {k}" for k, c in enumerate(_CUM)) + " ELSE 8 END"
+
+
+BOOT = f"""g AS (SELECT grp, {COUNTS} FROM preds GROUP BY 1), d AS (SELECT r, g.*, {draws('r', 'grp')} AS w FROM g CROSS JOIN (SELECT unnest(generate_series(0, 199)) AS r)),
+    c AS (SELECT r, sum(tp * w) AS tp, sum(fp * w) AS fp, sum(fn * w) AS fn, sum(tn * w) AS tn FROM d GROUP BY 1),
+    m AS (SELECT ({F1} + {F0}) / 2 AS macro_f1, {F1} AS unreliable_f1, {R('tp', 'tp + fn')} AS unreliable_recall, 1.0 * (tp + tn) / (tp + fp + fn + tn) AS accuracy FROM c WHERE tp + fp + fn + tn > 0)"""
+INTERVAL = "round(avg({0}), 6) AS mean, round(quantile_cont(CAST({0} AS DOUBLE), 0.025), 6) AS low, round(quantile_cont(CAST({0} AS DOUBLE), 0.975), 6) AS high"
+
+
+@query("bootstrap_intervals", f"WITH {PREDS}, {BOOT} " + " UNION ALL ".join(f"SELECT '{k}' AS metric, {INTERVAL.format(k)} FROM m" for k in ("macro_f1", "unreliable_f1", "unreliable_recall", "accuracy")))
 def bootstrap_intervals(spark, sf):
     return E.bootstrap_intervals(predictions(spark, sf), "grp", 200)
 

@@ -80,7 +80,7 @@ def split_standard(spark, sf):
     return P.standard_split(roster(spark, sf), "grp")
 
 
-@query("split_hash")
+@query("split_hash", f"WITH {ROSTER}, u AS (SELECT record_id, CAST(concat('0x', substr(sha1(concat('613|', CAST(grp AS VARCHAR))), 1, 8)) AS BIGINT) / 4294967296.0e0 AS u FROM roster) SELECT record_id, CASE WHEN u < 0.6 THEN 'train' WHEN u < 0.8 THEN 'validation' ELSE 'test' END AS split FROM u")
 def split_hash(spark, sf):
     return P.hash_split(roster(spark, sf), "grp").select("record_id", "split")
 

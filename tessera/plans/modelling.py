@@ -188,6 +188,19 @@ def shift_bundle(spark, sf):
     return out.unpivot(["component"], ["tv", "js"], "metric", "value")
 
 
+_F = "(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2.0e0 * tp / (2 * tp + fp + fn) END + CASE WHEN 2 * tn + fp + fn = 0 THEN 0 ELSE 2.0e0 * tn / (2 * tn + fp + fn) END) / 2"
+
+
+def _bag(p: str) -> str:
+    c = lambda y, v: f"count(*) FILTER (WHERE y = {y} AND {p} = {v})"
+    return f"(SELECT {c(1, 1)} AS tp, {c(0, 1)} AS fp, {c(1, 0)} AS fn, {c(0, 0)} AS tn FROM keyed WHERE record_id % 2 = 0)"
+
+
+@query("transfer_macro_f1", f"WITH {KEYED}, a AS (SELECT round({_F}, 6) AS f FROM {_bag('pa')}), b AS (SELECT round({_F}, 6) AS f FROM {_bag('pb')}) SELECT a.f AS in_domain, b.f AS transfer, round(b.f - a.f, 6) AS delta FROM a CROSS JOIN b")
+def transfer_macro_f1(spark, sf):
+    return transfer_degradation_rows(spark, sf).where("metric = 'macro_f1'").select("in_domain", "transfer", "delta")
+
+
 @query("transfer_degradation_rows")
 def transfer_degradation_rows(spark, sf):
     from tessera.operators.transfer import SAME, comparator_spec, degradation
