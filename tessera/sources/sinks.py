@@ -74,3 +74,32 @@ def inventory(spark: SparkSession, root: str, max_hash_bytes: int = 25_000_000)
 def verify_md5(spark: SparkSession, path: str, md5: str, size: int) -> bool:
     got = spark.read.format("binaryFile").load(path).select(F.md5("content").alias("m"), "length").first()
     return got is not None and got["m"] == md5 and got["length"] == size
+
+
+def table_inventory(spark: SparkSession, root: str, max_json_bytes: int = 10_000_000) -> tuple[DataFrame, DataFrame]:
+    """(tables, fields): records and column names of every CSV, and of every JSON file up to a size.
+
+    A file that cannot be read is a row with its error. One file a row: the
+    small files of a collection, not its contents, reach the driver.
+    """
+    import json
+
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length").orderBy("path")
+    tables, fields = [], []
+    for r in names.toLocalIterator():
+        path, low = r["path"], r["path"].lower()
+        try:
+            if low.endswith(".csv"):
+                df = spark.read.csv(path, header=True, multiLine=True, escape='"')
+                own, n, kind = df.columns, spark.read.text(path).count() - 1, "csv"
+            elif low.endswith(".json") and r["length"] <= max_json_bytes:
+                got = json.loads(spark.read.text(path, wholetext=True).first()[0])
+                head = got[:50] if isinstance(got, list) else list(got.values())[:50] if isinstance(got, dict) else []
+                own, n, kind = sorted({k for x in head if isinstance(x, dict) for k in x}), len(got) if isinstance(got, list | dict) else 1, "json"
+            else:
+                continue
+            tables.append((path, kind, n, "ok"))
+            fields += [(path, c) for c in own]
+        except Exception as x:  # noqa: BLE001 - whatever is wrong with a file is what its row says
+            tables.append((path, low.rpartition(".")[2], None, f"error: {str(x)[:200]}"))
+    return spark.createDataFrame(tables, "path string, format string, records long, status string"), spark.createDataFrame(fields, "path string, field string")

@@ -96,3 +96,13 @@ def test_labels(spark):
     assert got == [("unreliable", "unreliable", "rating_2.5"), ("reliable", "reliable", "rating_3")]
     with pytest.raises(Exception, match="no label"):
         df.select(items.label_from_name(F.lit("x"))).collect()
+
+
+def test_table_inventory(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n3,4\n")
+    (tmp_path / "b.json").write_text(json.dumps([{"k": 1}, {"j": 2}]))
+    (tmp_path / "c.json").write_text("{oops")
+    tables, fields = sinks.table_inventory(spark, str(tmp_path))
+    got = {r.path[-6:]: (r.records, r.status[:5]) for r in tables.collect()}
+    assert got == {"/a.csv": (2, "ok"), "b.json": (2, "ok"), "c.json": (None, "error")}
+    assert sorted((r.path[-6:], r.field) for r in fields.collect()) == [("/a.csv", "x"), ("/a.csv", "y"), ("b.json", "j"), ("b.json", "k")]
