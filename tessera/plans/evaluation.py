@@ -290,3 +290,21 @@ def shift_summary_long(spark, sf):
 def length_shift(spark, sf):
     s, t = F.when(F.col("dataset") == "en", F.col("n_chars")), F.when(F.col("dataset") != "en", F.col("n_chars"))
     return items(spark, sf).agg(F.round(F.avg(t) / F.avg(s), 6).alias("mean_ratio"), F.round(F.percentile(t, 0.5) / F.percentile(s, 0.5), 6).alias("median_ratio"))
+
+
+@query("sort_stable_tiebreak", "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority, o_orderkey LIMIT 200")
+def sort_stable_tiebreak(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", "o_orderpriority").orderBy("o_orderpriority", "o_orderkey").limit(200)
+
+
+@query("agg_equivalence", f"WITH {RUNS} SELECT dataset, model, count(*) AS runs, count(*) FILTER (WHERE abs(difference) < 0.03) AS supporting FROM runs GROUP BY 1, 2")
+def agg_equivalence(spark, sf):
+    k = keyed(spark, sf).groupBy("dataset", F.when(F.col("record_id") % 2 == 0, "a").otherwise("b").alias("model"), (F.col("grp") % 3).alias("seed")).agg(F.round(F.avg(F.col("score_a") - F.col("score_b")), 6).alias("difference"))
+    return E.equivalence(k.withColumn("low", F.col("difference")).withColumn("high", F.col("difference"))).select("dataset", "model", "runs", "supporting")
+
+
+@query("rating3_sensitivity", f"WITH {KEYED}, q AS (SELECT y, pa, pb FROM keyed WHERE dataset <> '3-MEDIUM'), a AS (SELECT avg(CASE WHEN y = pa THEN 1.0e0 ELSE 0 END) AS x, avg(CASE WHEN y = pb THEN 1.0e0 ELSE 0 END) AS z, count(*) AS n FROM q) SELECT n, round(x, 6) AS primary_accuracy, round(z, 6) AS retrained_accuracy FROM a")
+def rating3_sensitivity(spark, sf):
+    k = keyed(spark, sf).where("dataset <> '3-MEDIUM'")
+    right = lambda c: F.round(F.avg((F.col("y") == F.col(c)).cast("double")), 6)
+    return k.agg(F.count("*").alias("n"), right("pa").alias("primary_accuracy"), right("pb").alias("retrained_accuracy"))

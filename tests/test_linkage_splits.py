@@ -86,3 +86,23 @@ def test_contracts(spark):
     with pytest.raises(ContractError, match="lacks"):
         require_columns(a, {"nope"}, "a")
     assert same_keys(a, b, ["k"]) and same_rows(a, a.orderBy(F.desc("v"))) and not same_rows(a, b)
+
+
+def test_split_precedence(spark):
+    r = roster(spark, 1200).withColumnsRenamed({"grp": "publisher_id"})
+    m, why = P.split_precedence(r, P.SplitSettings(publisher_attempts=20))
+    assert why[0][:2] == ("publisher_disjoint", "available") and P.split_issues(m, "publisher_id", True) == []
+    one = r.withColumn("publisher_id", F.lit("")).withColumn("family_group", F.col("record_id")).withColumn("study_ts", (F.lit("2020-01-01").cast("timestamp_ntz") + F.expr("make_interval(0,0,0,cast(substr(record_id, 2) as int) % 200)")))
+    m, why = P.split_precedence(one, P.SplitSettings())
+    assert [w[1] for w in why] == ["unavailable", "unavailable", "available"] and m.where("split IS NULL").count() == 0
+
+
+def test_config(spark, tmp_path):
+    from tessera import config
+
+    (tmp_path / "s.json").write_text('{"run_id": "x"}')
+    (tmp_path / "l.json").write_text("[1]")
+    assert config.load_json(spark, str(tmp_path / "s.json")) == {"run_id": "x"}
+    with pytest.raises(ContractError):
+        config.load_json(spark, str(tmp_path / "l.json"))
+    assert not config.folders_exist(spark, str(tmp_path))
