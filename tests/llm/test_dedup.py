@@ -190,3 +190,49 @@ def test_near_groups(spark):
 def test_empty_tables(nothing):
     for f in (dedup_suffixes, dedup_windows, dedup_exact, drop_exact, simhash_groups, near_groups, drop_near):
         assert f(nothing).count() == 0
+
+
+def shingle_sets(rows):
+    w = {i: t.lower().split() for i, t in rows}
+    return {i: {tuple(x[k : k + 5]) for k in range(len(x) - 4)} or {tuple(x)} for i, x in w.items()}
+
+
+def brute_near(rows, similarity=0.8):
+    """Component of every document, over all pairs."""
+    sets = shingle_sets(rows)
+    at = {i: i for i in sets}
+
+    def top(i):
+        while at[i] != i:
+            i = at[i]
+        return i
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids[: ids.index(a)]:
+            if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                at[y] = x
+    return {i: top(i) for i in ids}
+
+
+def near_rows(spark, rows, **options):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_groups(df, **options).collect()}
+    return {i: got.get(i, i) for i, _ in rows}
+
+
+def test_near_copies_of_an_original_meet_it(spark):
+    # copies are near their original (0.82) but not one another (0.69), and the original is the last by doc_id
+    r = np.random.default_rng(8)
+    base = [f"w{x}" for x in r.integers(0, 10**9, 300)]
+    rows = [(999, " ".join(base))]
+    for k in range(60):
+        w = list(base)
+        for j in range(6):
+            w[10 + 50 * j + int(r.integers(0, 30))] = f"new{k}x{j}"
+        rows.append((k, " ".join(w)))
+    want = brute_near(rows)
+    assert set(want.values()) == {0}
+    assert near_rows(spark, rows) == want
+    assert near_rows(spark, rows, block=2000) == want  # pairs of blocks
