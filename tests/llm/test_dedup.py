@@ -236,3 +236,32 @@ def test_near_copies_of_an_original_meet_it(spark):
     assert set(want.values()) == {0}
     assert near_rows(spark, rows) == want
     assert near_rows(spark, rows, block=2000) == want  # pairs of blocks
+
+
+def edited_pairs(kind, n, seed):
+    """Pairs of similarity 0.8 to 0.95 by one kind of edit: the first of each even, its copy odd."""
+    r = np.random.default_rng(seed)
+    say = lambda k: [f"w{x}" for x in r.integers(0, 10**9, k)]
+    rows = []
+    for k in range(n):
+        size = int(r.integers(60, 400))
+        a = say(size)
+        b = list(a)
+        if kind == "appended":
+            b += say(size * 15 // 100 + 1)
+        elif kind == "run":
+            b[size // 3 : size // 3 + size // 13] = say(size // 13)
+        else:
+            for x in range(size // 60):
+                b[60 * x + int(r.integers(5, 50))] = say(1)[0]
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    return rows
+
+
+def test_no_kind_of_edit_loses_pairs(spark):
+    rows = []
+    for x, kind in enumerate(("appended", "run", "scattered")):
+        rows += [(1000 * x + i, t) for i, t in edited_pairs(kind, 40, x)]
+    want = brute_near(rows)
+    assert sum(want[i] != i for i, _ in rows) >= 100
+    assert near_rows(spark, rows) == want
