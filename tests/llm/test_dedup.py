@@ -265,3 +265,14 @@ def test_no_kind_of_edit_loses_pairs(spark):
     want = brute_near(rows)
     assert sum(want[i] != i for i, _ in rows) >= 100
     assert near_rows(spark, rows) == want
+
+
+def test_repeated_passages_do_not_hide_copies(spark):
+    r = np.random.default_rng(4)
+    rows = []
+    for size, times in ((60, 2), (150, 2), (500, 2), (100, 4), (200, 2)):
+        text = " ".join(f"w{x}" for x in r.integers(0, 10**9, size))
+        rows += [(len(rows), text), (len(rows) + 1, " ".join([text] * times))]
+    want = brute_near(rows)
+    assert all(want[i] == i - i % 2 for i, _ in rows)
+    assert near_rows(spark, rows) == want
