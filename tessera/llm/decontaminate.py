@@ -12,8 +12,8 @@ confirmed by the longest common subsequence of words around the place where
 they align, or a shorter one together with the item's answer (an answer
 column, else its last sentence).
 
-Items come in blocks of ``item_block`` (each block has its own space), so
-what the driver and the broadcasts hold is bounded for any benchmark.
+Items come in blocks of ``item_block``, or fewer so that the rank exceeds
+them (each block has its own space, with room for all of its items), so what the driver and the broadcasts hold is bounded for any benchmark.
 
 Definite results: null or empty text is clean; null or wordless items match
 nothing; items that repeat match alike, and the smallest item_id is named; a
@@ -324,6 +324,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "d
     """One row per document: doc_id, contaminated, item_id (the best match, null if no candidate), lcs, cosine."""
     ws = Workspace(docs.sparkSession)
     answer = F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")
+    item_block = max(1, min(item_block, rank - 16))  # the space of a block holds every one of its items
     rows = benchmark.where(F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t"), answer.alias("a")).orderBy("i", "t").toLocalIterator()
     out, block = [], []
 
