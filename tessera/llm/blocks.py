@@ -8,12 +8,15 @@ order), and is the unit in which repeated work is pre-aggregated.
 
 from __future__ import annotations
 
+import ctypes
 import struct
 import sys
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -129,6 +132,42 @@ def unpack(blob: bytes, *types) -> list:
     return out
 
 
+def by_bytes(batch: pa.RecordBatch | pa.Table, column: int | str, most: int = 1 << 20) -> Iterator[pa.RecordBatch | pa.Table]:
+    """Parts of a batch that hold about ``most`` bytes of a string or binary column; a longer row is alone."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64))
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+@cache
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # a C library without it
+        return lambda _: 0
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers outlive their tasks, and others need the room."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def released(run):
+    """``run`` over batches, with freed memory given back once the partition ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def block_of(ids: np.ndarray, n_blocks: int) -> np.ndarray:
     return (mix(ids.view(U64) * U64(BASE[0]) + U64(0x1234567)) % U64(n_blocks)).astype(np.int64)
 
