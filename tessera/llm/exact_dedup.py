@@ -10,8 +10,9 @@ bounded; beyond that more rows shuffle and the result stays the same.
 
 Definite results: null text is empty; a null doc_id counts as larger than any
 other; rows that repeat both doc_id and text stand or fall together in the
-returned flags; further columns are ignored by ``dedup_exact`` and carried by
-``drop_exact``, which keeps a single row even of such repeats.
+returned flags; an empty table gives no rows; further columns, of any name, are
+ignored by ``dedup_exact`` and carried by ``drop_exact``, which keeps a single
+row even of such repeats.
 """
 
 from __future__ import annotations
@@ -51,6 +52,21 @@ def _read(blob: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8)
 
 
+class Filter:
+    """Slices of 'seen twice' bits; unpacked once in a process."""
+
+    def __init__(self, packed: dict[int, bytes]):
+        self.packed, self.bits = packed, None
+
+    def __getstate__(self):
+        return {"packed": self.packed, "bits": None}
+
+    def slices(self) -> dict[int, np.ndarray]:
+        if self.bits is None:
+            self.bits = {i: _read(b) for i, b in self.packed.items()}
+        return self.bits
+
+
 def repeat_filter(hashes: DataFrame, column: str, m: int) -> dict[int, bytes]:
     """Slices of the 'seen twice' bits over all values of a long column."""
     size = min(m, SLICE)
@@ -97,13 +113,13 @@ def maybe_repeated(spark, hashes: DataFrame, column: str, n: int, max_bits: int
     """A column function: whether a hash may occur more than once (never wrong when it says no)."""
     m = _slots_for(n, max_bits)
     size = min(m, SLICE)
-    shared = spark.sparkContext.broadcast(repeat_filter(hashes, column, m))
+    shared = spark.sparkContext.broadcast(Filter(repeat_filter(hashes, column, m)))
 
     @F.arrow_udf(T.BooleanType())
     def flag(x: pa.Array) -> pa.Array:
         s = _slots(np.asarray(x.to_numpy(zero_copy_only=False), dtype=np.int64), m)
         hit = np.ones(s.shape[1], dtype=bool)
-        whole = {i: _read(b) for i, b in shared.value.items()}
+        whole = shared.value.slices()
         for row in s:
             part, bit = row // size, row % size
             got = np.zeros(len(row), dtype=bool)
@@ -123,14 +139,18 @@ def dedup_exact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ws = Workspace(spark)
     hashed = ws.keep(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text_col).alias("text_sha256")), "hashes")
     hashed = hashed.withColumn("x", F.xxhash64("text_sha256"))
-    flag = maybe_repeated(spark, hashed, "x", hashed.count(), max_bits)
+    n = hashed.count()
+    flag = maybe_repeated(spark, hashed, "x", n, max_bits)
     marked = hashed.withColumn("again", flag("x")).drop("x")
     marked = ws.keep(marked, "marked")
     alone = marked.where("not again").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     rest = marked.where("again").drop("again")
     groups = rest.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    many = groups.where("group_size > 1")
-    joined = rest.join(many, "text_sha256", "left")
+    many = ws.keep(groups.where("group_size > 1"), "groups")
+    # groups of more than a two-thousandth of the rows number under 2,000: these are broadcast, so no task gets a whole one
+    hot = f"group_size > {max(100, n // 2000)}"
+    big = F.broadcast(many.where(hot))
+    joined = rest.join(big, "text_sha256").unionByName(rest.join(big, "text_sha256", "left_anti").join(many.where(f"NOT ({hot})"), "text_sha256", "left"))
     one = F.col("group_size").isNull()
     joined = joined.select("doc_id", F.when(one, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), (one | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256")
     return alone.union(joined)
@@ -142,9 +162,10 @@ def drop_exact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     hashed = docs.select(F.col(id_col), F.xxhash64(text_hash(text_col)).alias("x"))
     hashed = Workspace(spark).keep(hashed, "hashes")
     flag = maybe_repeated(spark, hashed, "x", hashed.count(), max_bits)
-    cols = docs.columns
-    marked = docs.withColumn("_sha", text_hash(text_col)).withColumn("_again", flag(F.xxhash64("_sha")))
-    alone = marked.where("not _again").select(cols)
+    cols = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    row = F.col("row")
+    marked = docs.select(F.struct(*cols).alias("row"), F.col(id_col).alias("id"), text_hash(text_col).alias("sha")).withColumn("again", flag(F.xxhash64("sha")))
+    alone = marked.where("not again").select("row")
     # min_by combines on the map side, so a hot text is one row a task
-    rest = marked.where("_again").groupBy("_sha").agg(F.min_by(F.struct(*[F.col(c) for c in cols]), F.struct(F.col(id_col).isNull(), F.col(id_col))).alias("_row"))
-    return alone.union(rest.select("_row.*").select(cols))
+    rest = marked.where("again").groupBy("sha").agg(F.min_by(row, F.struct(F.col("id").isNull(), F.col("id"))).alias("row"))
+    return alone.union(rest.select("row")).select("row.*")

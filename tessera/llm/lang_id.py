@@ -9,8 +9,10 @@ A fifth of these are kept back to fit the temperature that calibrates the
 score and the score under which a prediction is marked as rejected.
 
 Definite results: null text, or text without a letter, is ``und`` with score
-0 and rejected; ties go to the language that sorts first; further columns are
-ignored. Language, source and doc_id are never inputs of a prediction.
+0 and rejected; so is every text where there was nothing to learn from (no row,
+no label, no letter); ties go to the language that sorts first; of rows that
+share a doc_id the one of least language and text is learned from; rows that
+repeat are judged each; further columns of any name are ignored. Language, source and doc_id are never inputs of a prediction.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import blocks as B
+
 SPAN = 1 << 15  # rows of the embedding table
 
 
@@ -69,6 +73,8 @@ class Model:
         return out / n[:, None] + self.bias, some
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        if not self.languages:
+            return ["und"] * len(texts), np.zeros(len(texts))
         names, scores = [], []
         at = 0
         while at < len(texts):  # slices of about 500,000 characters
@@ -100,6 +106,8 @@ def fit(texts: list[str], langs: list[str], *, dim: int = 16, epochs: int = 6, r
         h, _, some = subwords([t])
         docs.append(np.unique(h, return_counts=True) if some[0] else None)
     usable = np.array([i for i, d in enumerate(docs) if d is not None], dtype=np.int64)
+    if not len(usable):
+        return Model((), np.zeros((SPAN, 0)), np.zeros(0))
     usable = rng.permutation(usable)
     n_cal = len(usable) // 5
     cal, own = usable[:n_cal], usable[n_cal:]
@@ -140,11 +148,10 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     if held_out is not None:
         rows = rows.where(~held_out)
-    ids = rows.select(F.col(id_col).alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    got = rows.join(F.broadcast(ids.distinct()), F.col(id_col) == F.col("_id")).select("_id", F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
-    pairs = sorted((r["_id"], r["l"], r["t"]) for r in got.toLocalIterator())
-    if not pairs:
-        raise ValueError("no labelled rows to learn from")
+    rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t"))
+    ids = rows.select("id").orderBy(F.xxhash64("id"), "id").limit(max_rows).distinct()
+    got = rows.join(F.broadcast(ids), "id").groupBy("id").agg(F.min(F.struct("l", "t")).alias("r")).select("id", "r.*")  # max_rows rows at most
+    pairs = sorted((r["id"], r["l"], r["t"]) for r in got.toLocalIterator())
     return fit([p[2] for p in pairs], [p[1] for p in pairs])
 
 
@@ -153,8 +160,8 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SPAN rows by languages: a fixed size
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in B.by_bytes(whole, 1, 4 << 20)):
             names, scores = shared.value.predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(scores < shared.value.reject_below, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(B.released(run), "doc_id long, lang_pred string, score double, rejected boolean")

@@ -158,8 +158,20 @@ def test_language(spark):
     assert [(got[i].lang_pred, got[i].score, got[i].rejected) for i in (500, 501, 502)] == [("und", 0.0, True)] * 3
     assert got[503].lang_pred == "de" and got[None].lang_pred == "en" and all(0 <= x.score <= 1 for x in got.values())
     assert lang_id.predict(docs.limit(0), model).count() == 0
-    with pytest.raises(ValueError):
-        lang_id.train(docs.limit(0))
+    untaught = lang_id.train(docs.limit(0))
+    assert {(x.lang_pred, x.score, x.rejected) for x in lang_id.predict(docs, untaught).collect()} == {("und", 0.0, True)}
+
+
+def test_language_sample_is_bounded_by_rows_and_names_may_clash(spark):
+    rows = [(7, f"the same id again {k}", "en", k) for k in range(300)] + [(8, "und wieder ein text", "de", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, _id long")
+    seen = []
+    whole, lang_id.fit = lang_id.fit, lambda texts, langs: seen.append(len(texts)) or whole(texts, langs)
+    try:
+        assert lang_id.predict(docs, lang_id.train(docs, max_rows=20)).count() == 301
+    finally:
+        lang_id.fit = whole
+    assert seen[0] <= 20
 
 
 # ---- packing ---------------------------------------------------------------
