@@ -276,7 +276,7 @@ def tokens(c: Column) -> Column:
 
 
 def latin_fraction(c: Column) -> Column:
-    """Share of a-z among letters (1 if there is none)."""
+    """Share of a-z among letters (0 if there is none)."""
     letters = F.length(F.regexp_replace(c, r"[^\p{L}]", ""))
     latin = F.length(F.regexp_replace(c, "[^A-Za-z]", ""))
     return F.when(letters == 0, 0.0).otherwise(latin / letters)

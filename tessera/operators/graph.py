@@ -14,7 +14,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Alternating large-star and small-star contraction: each round is two
     aggregations by node, with the neighbour lists never built (a node meets
     only the minimum of its neighbourhood), so a hub costs no more than its
-    edges. Rounds grow with the logarithm of the longest path. Each round's
+    edges, which adaptive execution splits over several tasks (the joins feed
+    an aggregation by another key, so a skewed side may be split). Rounds grow with the logarithm of the longest path. Each round's
     edges are written to the shared folder, which cuts the lineage.
 
     Null endpoints are ignored; self loops give a component of one node.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators.graph import connected_components
+from tessera.operators.relational import join_groups
 
 
 def family_group_id(url: Column, title: Column, text: Column) -> Column:
@@ -41,7 +42,7 @@ def exact_keys(df: DataFrame) -> DataFrame:
 def key_edges(keys: DataFrame) -> DataFrame:
     """Star edges: every record of a key to the smallest one, so a key of a million records makes a million edges."""
     low = keys.groupBy("dataset", "key").agg(F.min("record_id").alias("dst"), F.count("*").alias("n")).where("n > 1")
-    return keys.join(low, ["dataset", "key"]).where("record_id <> dst").select("dataset", F.col("record_id").alias("src"), "dst").distinct()
+    return join_groups(keys, low, ["dataset", "key"], "n").where("record_id <> dst").select("dataset", F.col("record_id").alias("src"), "dst").distinct()
 
 
 def char_grams(title: Column, low: int = 3, high: int = 5) -> Column:
@@ -54,7 +55,7 @@ def char_grams(title: Column, low: int = 3, high: int = 5) -> Column:
     return F.flatten(F.transform(padded, lambda w: F.flatten(F.array(*[of(w, n) for n in range(low, high + 1)]))))
 
 
-def fuzzy_title_edges(df: DataFrame, *, threshold: float = 0.97, neighbours: int = 8, ratio: float = 0.85) -> DataFrame:
+def fuzzy_title_edges(df: DataFrame, *, threshold: float = 0.97, neighbours: int = 7, ratio: float = 0.85) -> DataFrame:
     """(dataset, src, dst, similarity) of titles with a TF-IDF cosine of ``threshold`` over character n-grams.
 
     Distinct titles are compared once. Candidates share one of a title's
@@ -64,10 +65,10 @@ def fuzzy_title_edges(df: DataFrame, *, threshold: float = 0.97, neighbours: int
     """
     t = df.select("dataset", "record_id", T.normalized_text("title").alias("title"))
     t = t.where((F.length("title") >= 30) & (F.size(F.split("title", " ")) >= 6))
-    titles = t.groupBy("dataset", "title").agg(F.min("record_id").alias("record_id"))
-    grams = titles.select("dataset", "record_id", F.length("title").alias("len"), F.explode(char_grams(F.col("title"))).alias("g")).groupBy("dataset", "record_id", "len", "g").agg(F.count("*").alias("tf"))
-    df_ = grams.groupBy("dataset", "g").agg(F.count("*").alias("df")).where("df >= 2")
-    n = titles.groupBy("dataset").agg(F.count("*").alias("n"))
+    titles = t.groupBy("dataset", "title").agg(F.min("record_id").alias("record_id"), F.count("*").alias("times"))
+    grams = titles.select("dataset", "record_id", "times", F.length("title").alias("len"), F.explode(char_grams(F.col("title"))).alias("g")).groupBy("dataset", "record_id", "times", "len", "g").agg(F.count("*").alias("tf"))
+    df_ = grams.groupBy("dataset", "g").agg(F.sum("times").alias("df")).where("df >= 2")  # over all records, whose titles may repeat
+    n = titles.groupBy("dataset").agg(F.sum("times").alias("n"))
     v = grams.join(df_, ["dataset", "g"]).join(F.broadcast(n), "dataset").withColumn("x", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     norm = Window.partitionBy("dataset", "record_id")
     v = v.withColumn("x", F.col("x") / F.sqrt(F.sum(F.col("x") ** 2).over(norm)))
@@ -108,14 +109,15 @@ def apply_quality_rules(df: DataFrame) -> DataFrame:
 
     ``df`` has dataset, record_id, duplicate_group, harmonized_label, exclusion_reason.
     """
-    g = Window.partitionBy("dataset", "duplicate_group")
-    open_ = F.coalesce("exclusion_reason", F.lit("")) == ""
+    keys = ["dataset", "duplicate_group"]
+    reason = F.coalesce("exclusion_reason", F.lit(""))
+    open_ = reason == ""
+    # one row a group, combined on the map side; a group of one open row changes nothing, so only others are joined back
     label = F.when(open_, F.col("harmonized_label"))
-    conflict = open_ & (F.min(label).over(g) != F.max(label).over(g))
-    d = df.withColumn("exclusion_reason", F.when(F.coalesce(conflict, F.lit(False)), "conflicting_exact_duplicate").otherwise(F.coalesce("exclusion_reason", F.lit(""))))
-    still = F.col("exclusion_reason") == ""
-    first = F.min(F.when(still, F.col("record_id"))).over(g)
-    return d.withColumn("exclusion_reason", F.when(still & (F.col("record_id") != first), "exact_duplicate").otherwise(F.col("exclusion_reason")))
+    groups = df.groupBy(*keys).agg(F.min(label).alias("_low"), F.max(label).alias("_high"), F.min(F.when(open_, F.col("record_id"))).alias("_first"), F.count_if(open_).alias("_n")).where("_n > 1")
+    d = join_groups(df, groups, keys, "_n")
+    new = F.when(~open_, reason).when(F.col("_low") != F.col("_high"), "conflicting_exact_duplicate").when(F.col("record_id") != F.col("_first"), "exact_duplicate").otherwise("")
+    return d.withColumn("exclusion_reason", new).drop("_low", "_high", "_first", "_n")
 
 
 def assign_primary_cohorts(df: DataFrame, allowed: dict[str, list[str]] | None = None, minimum_words: int = 30) -> DataFrame:

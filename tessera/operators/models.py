@@ -24,7 +24,7 @@ def fit_logistic(train: DataFrame, c: float = 1.0, max_iter: int = 100):
 
     w = with_balance(train)
     total = w.agg(F.sum("weight")).first()[0]
-    return LogisticRegression(labelCol="y", weightCol="weight", regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=max_iter).fit(w)
+    return LogisticRegression(labelCol="y", weightCol="weight", regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-4).fit(w)
 
 
 def fit_svm(train: DataFrame, c: float = 1.0, max_iter: int = 100):
@@ -33,7 +33,7 @@ def fit_svm(train: DataFrame, c: float = 1.0, max_iter: int = 100):
 
     w = with_balance(train)
     total = w.agg(F.sum("weight")).first()[0]
-    return LinearSVC(labelCol="y", weightCol="weight", regParam=1.0 / (c * total), standardization=False, maxIter=max_iter).fit(w)
+    return LinearSVC(labelCol="y", weightCol="weight", regParam=1.0 / (c * total), standardization=False, maxIter=max_iter, tol=1e-4).fit(w)
 
 
 def fit_majority(train: DataFrame):
@@ -90,16 +90,27 @@ def platt(df: DataFrame, rounds: int = 50) -> tuple[float, float]:
 
 
 def isotonic(df: DataFrame) -> pd.DataFrame:
-    """Steps of a rising fit of y on score by pooling neighbours, over counts of distinct scores."""
-    got = df.groupBy("score").agg(F.count("*").alias("n"), F.avg(F.col("y").cast("double")).alias("m")).orderBy("score").limit(1_000_000).toPandas()
-    pool: list[list[float]] = []
-    for s, n, m in got.itertuples(index=False):
-        pool.append([s, n, m])
-        while len(pool) > 1 and pool[-2][2] >= pool[-1][2]:
-            s1, n1, m1 = pool.pop()
-            s0, n0, m0 = pool.pop()
-            pool.append([s0, n0 + n1, (n0 * m0 + n1 * m1) / (n0 + n1)])
-    return pd.DataFrame(pool, columns=["from_score", "n", "value"])
+    """Steps of a rising fit of y on score by pooling neighbours, over counts of distinct scores.
+
+    Ranges of scores are pooled where they lie, which leaves the whole fit
+    unchanged; only their steps, which rise within each range, reach the driver.
+    """
+    names = ["from_score", "n", "value"]
+
+    def pooled(frames):
+        pool: list[list[float]] = []
+        for f in frames:
+            for s, n, m in f.itertuples(index=False):
+                pool.append([s, n, m])
+                while len(pool) > 1 and pool[-2][2] >= pool[-1][2]:
+                    s1, n1, m1 = pool.pop()
+                    s0, n0, m0 = pool.pop()
+                    pool.append([s0, n0 + n1, (n0 * m0 + n1 * m1) / (n0 + n1)])
+        yield pd.DataFrame(pool, columns=names).astype({"n": "int64"})
+
+    steps = df.groupBy(F.col("score").cast("double").alias("score")).agg(F.count("*").alias("n"), F.avg(F.col("y").cast("double")).alias("m"))
+    ranges = steps.repartitionByRange("score").sortWithinPartitions("score").mapInPandas(pooled, "from_score double, n long, value double")
+    return next(pooled([ranges.toPandas().sort_values("from_score")]))
 
 
 def isotonic_allowed(n: int, positives: int) -> bool:

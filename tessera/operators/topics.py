@@ -61,7 +61,7 @@ def topic_proxy(docs: DataFrame, side: str, *, topics: int = 10, max_features: i
 
     for _ in range(rounds):
         a, b = np.zeros_like(h), np.zeros((k, k))
-        for r in rows.select("i", "x").coalesce(64).mapInArrow(sums(h), "a binary, b binary").toLocalIterator():
+        for r in rows.select("i", "x").mapInArrow(sums(h), "a binary, b binary").toLocalIterator():
             a += np.frombuffer(r["a"]).reshape(h.shape)
             b += np.frombuffer(r["b"]).reshape(k, k)
         h = h * a / (b @ h + 1e-12)

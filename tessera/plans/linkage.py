@@ -43,12 +43,24 @@ def family_audit(spark, sf):
     return L.family_audit(family_components(spark, sf))
 
 
-@query("components_chain", "WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey % 400 AS u, l_suppkey % 400 + 1000 AS v FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 13 = 0), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(node, other) AS (SELECT u, u FROM b UNION SELECT r.node, b.v FROM r JOIN b ON r.other = b.u) SELECT node, min(other) AS component FROM r GROUP BY 1")
+def _chain(rounds: int) -> str:
+    """The least order of a component spreads to suppliers and back; each round reaches two links further."""
+    steps = ["o0 AS (SELECT DISTINCT l_orderkey AS o, l_orderkey AS c FROM lineitem)"]
+    for i in range(rounds):
+        steps.append(f"s{i} AS (SELECT l_suppkey AS s, min(c) AS c FROM lineitem JOIN o{i} ON l_orderkey = o GROUP BY 1)")
+        steps.append(f"o{i + 1} AS (SELECT l_orderkey AS o, min(c) AS c FROM lineitem JOIN s{i} ON l_suppkey = s GROUP BY 1)")
+    return "WITH " + ", ".join(steps) + f" SELECT 2 * o AS node, 2 * c AS component FROM o{rounds} UNION ALL SELECT 2 * s + 1, 2 * c FROM s{rounds - 1}"
+
+
+@query("components_chain", _chain(8))
 def components_chain(spark, sf):
     from tessera.operators.graph import connected_components
 
-    e = table(spark, sf, "lineitem").where("l_linenumber = 1 AND l_orderkey % 13 = 0").select((F.col("l_orderkey") % 400).alias("src"), (F.col("l_suppkey") % 400 + 1000).alias("dst"))
-    return connected_components(e)
+    e = table(spark, sf, "lineitem").select((2 * F.col("l_orderkey")).alias("src"), (2 * F.col("l_suppkey") + 1).alias("dst"))
+    got = connected_components(e)
+    # a component is named by its least order, as the oracle does, rather than by its least node
+    named = got.where("node % 2 = 0").groupBy("component").agg(F.min("node").alias("name"))
+    return got.join(named, "component").select("node", F.col("name").alias("component"))
 
 
 @query(
@@ -62,9 +74,9 @@ def apply_quality_rules(spark, sf):
     return L.apply_quality_rules(d).select("record_id", "exclusion_reason")
 
 
-@query("assign_primary_cohorts", f"WITH {ITEMS}, w AS (SELECT record_id, dataset, text_unit, CAST(len(regexp_extract_all(body_text, '[\\p{{L}}\\p{{N}}_][\\p{{L}}\\p{{N}}_''-]*')) AS BIGINT) AS n FROM items WHERE NOT regexp_matches(body_text, '[''-]')) SELECT record_id, concat(dataset, '_', text_unit) AS analysis_cohort, CASE WHEN text_unit <> 'article' THEN 'non_primary_text_unit' WHEN n < 30 THEN 'insufficient_body_text' ELSE '' END AS primary_exclusion_reason FROM w")
+@query("assign_primary_cohorts", f"WITH {ITEMS}, w AS (SELECT record_id, dataset, text_unit, CAST(len(regexp_extract_all(body_text, '[\\p{{L}}\\p{{N}}_](?:[\\p{{L}}\\p{{N}}_''-]*[\\p{{L}}\\p{{N}}_])?')) AS BIGINT) AS n FROM items) SELECT record_id, concat(dataset, '_', text_unit) AS analysis_cohort, CASE WHEN text_unit <> 'article' THEN 'non_primary_text_unit' WHEN n < 30 THEN 'insufficient_body_text' ELSE '' END AS primary_exclusion_reason FROM w")
 def assign_primary_cohorts(spark, sf):
-    d = items(spark, sf).where("NOT rlike(body_text, \"['-]\")").withColumn("model_text", F.col("body_text")).withColumn("exclusion_reason", F.lit(""))
+    d = items(spark, sf).withColumn("model_text", F.col("body_text")).withColumn("exclusion_reason", F.lit(""))
     return L.assign_primary_cohorts(d, {x: ["article"] for x in ("en", "fr", "de", "es")}).select("record_id", "analysis_cohort", "primary_exclusion_reason")
 
 
@@ -85,10 +97,18 @@ def split_hash(spark, sf):
     return P.hash_split(roster(spark, sf), "grp").select("record_id", "split")
 
 
-@query("split_valid", "SELECT 0 AS issues")
+_BY = "CASE WHEN {u} < 0.6 THEN 'train' WHEN {u} < 0.8 THEN 'validation' ELSE 'test' END"
+_DRAW = "CAST(concat('0x', substr(sha1(concat('613|', CAST({c} AS VARCHAR))), 1, 8)) AS BIGINT) / 4294967296.0e0"
+
+
+@query(
+    "split_valid",
+    f"""WITH {ROSTER}, m AS (SELECT grp, dataset, {_BY.format(u=_DRAW.format(c="grp"))} AS by_group, {_BY.format(u=_DRAW.format(c="record_id"))} AS by_record FROM roster),
+    g AS (SELECT count(DISTINCT by_group) AS a, count(DISTINCT by_record) AS b FROM m GROUP BY dataset, grp) SELECT 'group' AS design, count(*) FILTER (WHERE a > 1) > 0 AS crossing FROM g UNION ALL SELECT 'record', count(*) FILTER (WHERE b > 1) > 0 FROM g""",
+)
 def split_valid(spark, sf):
-    issues = P.split_issues(P.hash_split(roster(spark, sf), "grp"), "grp", controlled=True)
-    return spark.createDataFrame([(len(issues),)], "issues int")
+    found = [(kind, "a group crosses splits" in P.split_issues(P.hash_split(roster(spark, sf), c), "grp")) for kind, c in (("group", "grp"), ("record", "record_id"))]
+    return spark.createDataFrame(found, "design string, crossing boolean")
 
 
 @query(

@@ -4,34 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import experiments as E
 from tessera.operators import explain as X
 from tessera.operators import features as V
 from tessera.operators import models as M
 from tessera.plans.adapters import KEYED, PREDS, engagement, items, keyed, predictions, table
 from tessera.plans.registry import query
 
-TOK = "tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents WHERE doc_id % 5 = 0), tc AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2)"
+TOK = "tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents), tc AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2)"
 
 
-def fifth(spark, sf):
-    return table(spark, sf, "documents").where("doc_id % 5 = 0").select(F.col("doc_id").alias("record_id"), "text")
+def whole(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("record_id"), "text")
 
 
 @query("term_counts", f"WITH {TOK} SELECT doc_id AS record_id, term, tf FROM tc")
 def term_counts(spark, sf):
-    return V.term_counts(fifth(spark, sf), "text")
+    return V.term_counts(whole(spark, sf), "text")
 
 
 @query("tfidf_vocabulary", f"WITH {TOK} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM tc GROUP BY 1 HAVING count(*) >= 2 ORDER BY sum(tf) DESC, term LIMIT 1000")
 def tfidf_vocabulary(spark, sf):
-    return V.vocabulary(V.term_counts(fifth(spark, sf), "text"), 2, 1000)
+    return V.vocabulary(V.term_counts(whole(spark, sf), "text"), 2, 1000)
 
 
-TFIDF = f"{TOK}, n AS (SELECT count(*) AS n FROM documents WHERE doc_id % 5 = 0), v AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tc GROUP BY 1 HAVING count(*) >= 2 ORDER BY sum(tf) DESC, term LIMIT 1000), w AS (SELECT tc.doc_id, tc.term, (1 + ln(tc.tf)) * (ln((1.0e0 + n.n) / (1 + v.df)) + 1) AS x FROM tc JOIN v ON tc.term = v.term CROSS JOIN n)"
+TFIDF = f"{TOK}, n AS (SELECT count(*) AS n FROM documents), v AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tc GROUP BY 1 HAVING count(*) >= 2 ORDER BY sum(tf) DESC, term LIMIT 1000), w AS (SELECT tc.doc_id, tc.term, (1 + ln(tc.tf)) * (ln((1.0e0 + n.n) / (1 + v.df)) + 1) AS x FROM tc JOIN v ON tc.term = v.term CROSS JOIN n)"
 
 
 def tfidf_of(spark, sf):
-    d = fifth(spark, sf)
+    d = whole(spark, sf)
     c = V.term_counts(d, "text")
     return V.tfidf(c, V.vocabulary(c, 2, 1000), d.count(), sublinear=True)
 
@@ -50,7 +51,7 @@ def explain_linear(spark, sf):
 
 @query("topk_coeff", f"WITH {TOK}, v AS (SELECT term, count(*) AS df FROM tc GROUP BY 1), a AS (SELECT term, df FROM v ORDER BY df DESC, term LIMIT 50), b AS (SELECT term, df FROM v ORDER BY df, term LIMIT 50) SELECT 'high' AS side, term, df FROM a UNION ALL SELECT 'low', term, df FROM b")
 def topk_coeff(spark, sf):
-    v = V.vocabulary(V.term_counts(fifth(spark, sf), "text")).select("term", "df")
+    v = V.vocabulary(V.term_counts(whole(spark, sf), "text")).select("term", "df")
     hi, lo = v.orderBy(F.desc("df"), "term").limit(50), v.orderBy("df", "term").limit(50)
     return hi.select(F.lit("high").alias("side"), "term", "df").union(lo.select(F.lit("low").alias("side"), "term", "df"))
 
@@ -68,10 +69,10 @@ def explain_stability(spark, sf):
     return X.stability(a, b, ["user_id"])
 
 
-@query("refit_verify", f"WITH {KEYED} SELECT avg(CASE WHEN pa = pa THEN 1.0e0 ELSE 0 END) AS agreement, max(abs(score_a - score_a)) AS max_gap, true AS verified FROM keyed")
+@query("refit_verify", f"WITH {KEYED} SELECT avg(CASE WHEN pa = pb THEN 1.0e0 ELSE 0 END) AS agreement, max(abs(score_a - score_b)) AS max_gap, avg(CASE WHEN pa = pb THEN 1.0e0 ELSE 0 END) = 1 AND max(abs(score_a - score_b)) <= 1e-5 AS verified FROM keyed")
 def refit_verify(spark, sf):
-    k = keyed(spark, sf).select("record_id", F.col("pa").alias("p"), F.col("score_a").alias("score"))
-    return X.refit_agreement(k, k)
+    k = keyed(spark, sf)
+    return X.refit_agreement(*(k.select("record_id", F.col(p).alias("p"), F.col(s).alias("score")) for p, s in (("pa", "score_a"), ("pb", "score_b"))))
 
 
 @query("majority", "SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1")
@@ -79,52 +80,75 @@ def majority(spark, sf):
     return spark.createDataFrame([(M.fit_majority(predictions(spark, sf)),)], "label int")
 
 
-@query("tfidf_grid", "SELECT CAST(i AS INTEGER) AS i FROM (SELECT unnest(generate_series(0, 7)) AS i)")
+GRID = "grid AS (SELECT row_number() OVER (ORDER BY m, d DESC, s) - 1 AS i, m, d, s FROM (SELECT unnest([10000, 20000]) AS m) CROSS JOIN (SELECT unnest([2, 5]) AS d) CROSS JOIN (SELECT unnest([false, true]) AS s))"
+
+
+@query("tfidf_grid", f"WITH {GRID} SELECT CAST(i AS INTEGER) AS i, CAST(m AS INTEGER) AS max_features, CAST(d AS INTEGER) AS min_df, s AS sublinear, CAST(1 AS INTEGER) AS ngram_min, CAST(2 AS INTEGER) AS ngram_max FROM grid")
 def tfidf_grid(spark, sf):
-    return spark.createDataFrame([(i,) for i, _ in enumerate(V.grid())], "i int")
+    rows = [(i, g["max_features"], g["min_df"], g["sublinear"], *g["ngrams"]) for i, g in enumerate(V.grid())]
+    return spark.createDataFrame(rows, "i int, max_features int, min_df int, sublinear boolean, ngram_min int, ngram_max int")
 
 
-@query("candidates", "SELECT * FROM (VALUES ('majority', 1), ('logistic_regression', 24), ('linear_svm', 24)) AS t(model, n)")
+@query("candidates", f"WITH {GRID} SELECT 'majority' AS model, CAST(-1 AS BIGINT) AS i, 0.0e0 AS c UNION ALL SELECT model, i, CAST(c AS DOUBLE) FROM grid CROSS JOIN (SELECT unnest(['logistic_regression', 'linear_svm']) AS model) CROSS JOIN (SELECT unnest([0.1, 1.0, 10.0]) AS c)")
 def candidates(spark, sf):
-    return spark.createDataFrame([(c["model"],) for c in V.candidates()], "model string").groupBy("model").agg(F.count("*").cast("int").alias("n"))
+    grid = V.grid()
+    rows = [(c["model"], grid.index(c["representation"]) if "representation" in c else -1, float(c.get("c", 0.0))) for c in V.candidates()]
+    return spark.createDataFrame(rows, "model string, i long, c double")
 
 
-def labelled_vectors(spark, sf):
-    d = items(spark, sf).where("dataset = 'en' AND harmonized_label IS NOT NULL").select("record_id", F.col("body_text").alias("text"), F.when(F.col("harmonized_label") == "unreliable", 1).otherwise(0).alias("y"), "doc_id")
-    c = V.term_counts(d, "text")
-    v = V.vocabulary(c, 2, 2000).persist()
-    x = V.to_vectors(V.tfidf(c, v, d.count()), v, v.count())
-    return d.select("record_id", "y", "doc_id").join(x, "record_id").persist()
+def labelled(spark, sf):
+    """Labelled documents; every fifth one is for the test, the one before it for validation."""
+    d = items(spark, sf).where("harmonized_label IS NOT NULL").select("record_id", F.col("body_text").alias("text"), F.when(F.col("harmonized_label") == "unreliable", 1).otherwise(0).alias("y"), "source_name", "dataset", "n_chars", F.col("doc_id").alias("grp"))
+    k = F.pmod("grp", F.lit(5))
+    return d.withColumn("split", F.when(k == 4, "test").when(k == 3, "validation").otherwise("train"))
+
+
+def parts(df):
+    return (df.where(F.col("split") == s) for s in ("train", "validation", "test"))
 
 
 @query("logistic_regression")
 def logistic_regression(spark, sf):
-    d = labelled_vectors(spark, sf)
-    return M.predict(M.fit_logistic(d.where("doc_id % 5 < 4")), d.where("doc_id % 5 = 4"))
+    train, _, test = parts(labelled(spark, sf))
+    return E.fit(train, E.PLAIN).predict(test)
 
 
 @query("linear_svm")
 def linear_svm(spark, sf):
-    d = labelled_vectors(spark, sf)
-    return M.predict(M.fit_svm(d.where("doc_id % 5 < 4")), d.where("doc_id % 5 = 4"))
+    train, _, test = parts(labelled(spark, sf))
+    return E.fit(train, E.PLAIN | dict(model="linear_svm")).predict(test)
 
 
 @query("select_on_validation")
 def select_on_validation(spark, sf):
-    d = labelled_vectors(spark, sf)
-    specs = [dict(model="majority"), dict(model="logistic_regression", c=0.1), dict(model="logistic_regression", c=10.0)]
-    spec, model, _ = M.select_on_validation(d.where("doc_id % 5 < 3"), d.where("doc_id % 5 = 3"), specs)
-    return M.predict(model, d.where("doc_id % 5 = 4")).withColumn("model", F.lit(spec["model"]))
+    train, validation, test = parts(labelled(spark, sf))
+    specs = [dict(model="majority"), *(E.PLAIN | dict(representation=r) for r in V.grid()[:2])]
+    got, _ = E.select_on_validation(train, validation, specs)
+    return got.predict(test).withColumn("model", F.lit(got.spec["model"]))
+
+
+@query("text_baseline_matrix")
+def text_baseline_matrix(spark, sf):
+    return E.baseline_matrix({"standard": labelled(spark, sf)}, [dict(model="majority"), E.PLAIN, E.PLAIN | dict(model="linear_svm")])
+
+
+@query("repeat_sensitivity")
+def repeat_sensitivity(spark, sf):
+    d = labelled(spark, sf).drop("split").withColumn("harmonized_label", F.when(F.col("y") == 1, "unreliable").otherwise("reliable")).withColumn("text_unit", F.lit("article"))
+    return E.repeat_sensitivity(d, "grp", repeats=2, attempts=5)
+
+
+@query("transfer_run")
+def transfer_run(spark, sf):
+    d = labelled(spark, sf).withColumn("domain", F.concat_ws("/", "dataset", "source_name"))
+    return E.transfer_run(d.where("dataset = 'en'"), d.where("dataset <> 'en'"), "domain")
 
 
 @query("engagement_ablation")
 def engagement_ablation(spark, sf):
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-
-    e = engagement(spark, sf).select(F.concat_ws(":", F.col("user_id").cast("string"), "day").alias("record_id"), (F.col("user_id") % 2).cast("int").alias("y"), *[F.log1p(c).alias(c) for c in ("tweet_count", "reply_count", "retweet_count")])
-    v = VectorAssembler(inputCols=["tweet_count", "reply_count", "retweet_count"], outputCol="raw").transform(e)
-    d = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(v).transform(v)
-    return M.predict(M.fit_logistic(d), d).select("record_id", "y", "p", F.round("score", 6).alias("score"))
+    e = engagement(spark, sf).groupBy(F.col("user_id").alias("grp")).agg(*[F.sum(c).alias(c) for c in ("tweet_count", "reply_count", "retweet_count")])
+    train, _, test = parts(labelled(spark, sf).join(e, "grp", "left"))
+    return E.engagement_ablation(train, test, ["tweet_count", "reply_count", "retweet_count"])
 
 
 @query("calibrator_platt")
@@ -150,14 +174,6 @@ def calibration_partition(spark, sf):
     return g.select("grp", (F.substring(F.sha1(F.concat_ws("|", F.lit("613"), F.col("grp").cast("string")).cast("binary")), 1, 1) < "8").alias("fit"))
 
 
-@query("transfer_degradation", f"WITH {KEYED}, a AS (SELECT avg(CASE WHEN y = pa THEN 1.0e0 ELSE 0 END) AS x FROM keyed WHERE record_id % 2 = 0), b AS (SELECT avg(CASE WHEN y = pb THEN 1.0e0 ELSE 0 END) AS x FROM keyed WHERE record_id % 2 = 0) SELECT 'accuracy' AS metric, round(a.x, 6) AS baseline, round(b.x, 6) AS transfer, round(b.x - a.x, 6) AS delta FROM a CROSS JOIN b")
-def transfer_degradation(spark, sf):
-    k = keyed(spark, sf).where("record_id % 2 = 0")
-    right = lambda c: F.avg((F.col("y") == F.col(c)).cast("double"))
-    g = k.agg(right("pa").alias("a"), right("pb").alias("b"))
-    return g.select(F.lit("accuracy").alias("metric"), F.round("a", 6).alias("baseline"), F.round("b", 6).alias("transfer"), F.round(F.col("b") - F.col("a"), 6).alias("delta"))
-
-
 @query("sink_json_strict", f"WITH {KEYED} SELECT record_id, CASE WHEN y = 1 THEN score_a END AS score FROM keyed")
 def sink_json_strict(spark, sf):
     from tessera.sources.sinks import strict
@@ -171,7 +187,7 @@ def topic_proxy(spark, sf):
     from tessera.operators.shift import topic_mix
     from tessera.operators.topics import topic_proxy
 
-    d = items(spark, sf).where("doc_id % 5 = 0").select("record_id", F.when(F.col("dataset") == "en", 0).otherwise(1).alias("side"), F.col("body_text").alias("text"))
+    d = items(spark, sf).select("record_id", F.when(F.col("dataset") == "en", 0).otherwise(1).alias("side"), F.col("body_text").alias("text"))
     mixtures, _ = topic_proxy(d, "side", topics=5, max_features=2000, rounds=6)
     return topic_mix(mixtures, "weights", "side")
 
@@ -188,15 +204,25 @@ def shift_bundle(spark, sf):
     return out.unpivot(["component"], ["tv", "js"], "metric", "value")
 
 
-_F = "(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2.0e0 * tp / (2 * tp + fp + fn) END + CASE WHEN 2 * tn + fp + fn = 0 THEN 0 ELSE 2.0e0 * tn / (2 * tn + fp + fn) END) / 2"
+_F1 = "CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2.0e0 * tp / (2 * tp + fp + fn) END"
+_F0 = "CASE WHEN 2 * tn + fp + fn = 0 THEN 0 ELSE 2.0e0 * tn / (2 * tn + fp + fn) END"
 
 
 def _bag(p: str) -> str:
     c = lambda y, v: f"count(*) FILTER (WHERE y = {y} AND {p} = {v})"
-    return f"(SELECT {c(1, 1)} AS tp, {c(0, 1)} AS fp, {c(1, 0)} AS fn, {c(0, 0)} AS tn FROM keyed WHERE record_id % 2 = 0)"
+    counts = f"(SELECT {c(1, 1)} AS tp, {c(0, 1)} AS fp, {c(1, 0)} AS fn, {c(0, 0)} AS tn FROM keyed)"
+    return f"(SELECT unnest(['macro_f1', 'unreliable_f1', 'unreliable_recall']) AS metric, unnest([({_F1} + {_F0}) / 2, {_F1}, CASE WHEN tp + fn = 0 THEN 0 ELSE 1.0e0 * tp / (tp + fn) END]) AS x FROM {counts})"
+
+
+_DEGRADED = f"WITH {KEYED}, a AS {_bag('pa')}, b AS {_bag('pb')}, d AS (SELECT a.metric, round(a.x, 6) AS in_domain, round(b.x, 6) AS transfer, round(b.x - a.x, 6) AS delta FROM a JOIN b ON a.metric = b.metric)"
+
+
+@query("transfer_degradation", f"{_DEGRADED} SELECT * FROM d")
+def transfer_degradation(spark, sf):
+    return transfer_degradation_rows(spark, sf).where("metric <> 'pr_auc'").select("metric", "in_domain", "transfer", "delta")
 
 
-@query("transfer_macro_f1", f"WITH {KEYED}, a AS (SELECT round({_F}, 6) AS f FROM {_bag('pa')}), b AS (SELECT round({_F}, 6) AS f FROM {_bag('pb')}) SELECT a.f AS in_domain, b.f AS transfer, round(b.f - a.f, 6) AS delta FROM a CROSS JOIN b")
+@query("transfer_macro_f1", f"{_DEGRADED} SELECT in_domain, transfer, delta FROM d WHERE metric = 'macro_f1'")
 def transfer_macro_f1(spark, sf):
     return transfer_degradation_rows(spark, sf).where("metric = 'macro_f1'").select("in_domain", "transfer", "delta")
 
@@ -209,5 +235,5 @@ def transfer_degradation_rows(spark, sf):
     own, base = (k.select("record_id", "y", F.col(p).alias("p"), F.col(s).alias("score")) for p, s in (("pb", "score_b"), ("pa", "score_a")))
     spec = comparator_spec("a", "b", "full_text", "logistic_regression", SAME)
     summary = spark.createDataFrame([(spec.experiment_id, 10, 0.5, 0.5, 0.5, 0.5)], "experiment_id string, n int, macro_f1 double, unreliable_f1 double, unreliable_recall double, pr_auc double")
-    got = degradation(own.where("record_id % 2 = 0"), spec, summary, spec.config(), base)
+    got = degradation(own, spec, summary, spec.config(), base)
     return got.select("metric", "status", *[F.round(c, 6).alias(c) for c in ("in_domain", "transfer", "delta", "relative_delta")])

@@ -205,16 +205,16 @@ def assign_publisher_ids(spark, sf):
     return T.assign_publisher_ids(d).select("page_id", "publisher_id")
 
 
-@query("parse_alternate_urls", "SELECT page_id, url AS first_url, CAST(2 AS INTEGER) AS n FROM pages")
+@query("parse_alternate_urls", "SELECT page_id, CASE WHEN page_id % 4 > 0 THEN url END AS first_url, CAST(page_id % 4 AS INTEGER) AS n FROM pages")
 def parse_alternate_urls(spark, sf):
-    d = table(spark, sf, "pages").withColumn("a", F.when(F.col("page_id") % 2 == 0, F.to_json(F.array("url", "url"))).otherwise(F.concat_ws("|", "url", "url")))
+    d = table(spark, sf, "pages").withColumn("a", F.when(F.col("page_id") % 3 == 0, F.to_json(F.array_repeat("url", (F.col("page_id") % 4).cast("int")))).otherwise(F.array_join(F.array_repeat("url", (F.col("page_id") % 4).cast("int")), "|")))
     got = d.withColumn("l", T.parse_alternate_urls(F.col("a")))
-    return got.select("page_id", F.col("l")[0].alias("first_url"), F.size("l").alias("n"))
+    return got.select("page_id", F.get("l", F.lit(0)).alias("first_url"), F.size("l").alias("n"))
 
 
-@query("word_count_unicode", "SELECT doc_id, CAST(len(regexp_extract_all(text, '[\\p{L}\\p{N}_][\\p{L}\\p{N}_''-]*')) AS BIGINT) AS n FROM documents WHERE NOT regexp_matches(text, '[''-]')")
+@query("word_count_unicode", "SELECT doc_id, CAST(len(regexp_extract_all(text, '[\\p{L}\\p{N}_](?:[\\p{L}\\p{N}_''-]*[\\p{L}\\p{N}_])?')) AS BIGINT) AS n FROM documents")
 def word_count_unicode(spark, sf):
-    d = table(spark, sf, "documents").where("NOT rlike(text, \"['-]\")")
+    d = table(spark, sf, "documents")
     return d.select("doc_id", T.word_count_unicode(F.col("text")).cast("long").alias("n"))
 
 

@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "/tmp/checkpoints"
         os.makedirs(base, exist_ok=True)
         own = tempfile.mkdtemp(prefix="tessera-", dir=base)
@@ -46,13 +48,14 @@ class Workspace:
 
     A written table cuts the lineage: a lost executor re-reads it instead of
     recomputing what led to it. ``drop`` removes a table that no later plan
-    reads; what the returned DataFrame still reads stays.
+    reads; what the returned DataFrame still reads stays until Python ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/ws-{uuid.uuid4().hex}"
         self.n = 0
+        atexit.register(self._delete, self.root)
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write ``df`` as Parquet and return it as read back."""
@@ -69,9 +72,13 @@ class Workspace:
         """Delete a table made by ``keep``; nothing may read it afterwards."""
         path = getattr(df, "_tessera_path", None)
         if path:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        sc = self.spark.sparkContext
+        if sc._jsc is not None:  # a stopped session no longer reaches the folder
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def text_bytes(df: DataFrame, column: str) -> int:

@@ -38,9 +38,8 @@ def write_bundle(tables: dict[str, DataFrame], root: str) -> None:
         write_parquet(df, f"{root}/{name}")
 
 
-def markdown_table(df: DataFrame, most: int = 1000) -> str:
-    """A pipe table of a small report: NA for null, three decimals, bars escaped."""
-    rows = df.limit(most).collect()
+def markdown_table(df: DataFrame) -> str:
+    """A pipe table of every row of a report: NA for null, three decimals, bars escaped."""
 
     def cell(v) -> str:
         if v is None or (isinstance(v, float) and math.isnan(v)):
@@ -48,7 +47,7 @@ def markdown_table(df: DataFrame, most: int = 1000) -> str:
         return f"{v:.3f}" if isinstance(v, float) else str(v).replace("|", "\\|")
 
     head = "| " + " | ".join(df.columns) + " |\n| " + " | ".join("---" for _ in df.columns) + " |\n"
-    return head + "".join("| " + " | ".join(map(cell, r)) + " |\n" for r in rows)
+    return head + "".join("| " + " | ".join(map(cell, r)) + " |\n" for r in df.toLocalIterator())
 
 
 def read_prefer_parquet(spark: SparkSession, parquet: str, csv: str) -> tuple[DataFrame | None, str]:
