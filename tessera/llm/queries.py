@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, lang_id, packing, toxicity
 from tessera.llm.exact_dedup import dedup_exact
-from tessera.llm.secret_scan import secrets_by_document
+from tessera.llm.secret_scan import BASE, MORE, secrets_by_document
 from tessera.llm.simhash import simhash_groups
 from tessera.llm.substring_dedup import dedup_windows
 from tessera.llm.suffix_dedup import dedup_suffixes
@@ -93,7 +93,41 @@ _OP4 = f"""
     SELECT page_id, host, path, rule,
            CASE WHEN rule IS NULL THEN own WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' ELSE 'block' END AS verdict FROM x"""
 
+
+def _op9() -> str:
+    """Contract patterns for the base kinds (least length in the predicate), the method's own rules as they are."""
+    base = (("assign", BASE[0].pattern, 2, "length(g) >= 12"), ("access", "AKIA[A-Z0-9]+", 0, "length(w) >= 18"), ("hex", "[0-9a-f]+", 0, "length(w) >= 16"))
+    base = tuple((k, p.replace("(?i:password|passwd|secret|token|api_?key)", "((?i:password|passwd|secret|token|api_?key))"), g, ok) for k, p, g, ok in base)
+    every = base + tuple((r.kind, r.pattern, 0, "true") for r in MORE)
+    found = []
+    for i, (kind, pattern, group, ok) in enumerate(every):
+        quoted = pattern.replace("'", "''")
+        found.append(f"""SELECT doc_id, {i} AS o, '{kind}' AS kind, till - length(w) AS s, till AS e
+            FROM (SELECT doc_id, w, g, sum(length(gap) + length(w)) OVER (PARTITION BY doc_id ORDER BY j) AS till
+                  FROM (SELECT doc_id, unnest(regexp_extract_all(t, '{quoted}')) AS w, unnest(regexp_extract_all(t, '{quoted}', {group})) AS g,
+                               unnest(string_split_regex(t, '{quoted}')) AS gap, unnest(generate_series(1, len(string_split_regex(t, '{quoted}')))) AS j
+                        FROM d WHERE regexp_matches(t, '{quoted}')) WHERE w IS NOT NULL) WHERE {ok}""")
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({" UNION ALL ".join(found)}),
+        x AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+                     string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY s, o) FILTER (WHERE o < {len(base)}) AS base, string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY s, o) AS spans FROM f GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN x ON d.doc_id = x.doc_id"""
+
+
 ORACLE: dict[str, str] = {
+    "op1_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        win AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS k FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d WHERE len(h) >= 100)),
+        hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS least FROM win) WHERE least < doc_id),
+        new AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 1 ELSE 0 END AS fresh FROM hit),
+        run AS (SELECT doc_id, min(i) AS s, max(i) + 50 AS e FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM new) GROUP BY doc_id, r),
+        gap AS (SELECT run.doc_id, s, e, substr(h, 2 * lag(e, 1, 0) OVER (PARTITION BY run.doc_id ORDER BY s) + 1, 2 * (s - lag(e, 1, 0) OVER (PARTITION BY run.doc_id ORDER BY s))) AS piece FROM run JOIN d ON d.doc_id = run.doc_id),
+        kept AS (SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans, max(e) AS stop, string_agg(piece, '' ORDER BY s) AS head FROM gap GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(concat(coalesce(head, ''), substr(h, 2 * coalesce(stop, 0) + 1)))) AS kept_sha256
+        FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id""",
+    "op9_secret_scan": _op9(),
     "op4_url_filter": _OP4,
     "op8_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
