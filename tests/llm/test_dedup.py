@@ -11,6 +11,7 @@ from tessera.llm.near_dedup import drop_near, near_groups
 from tessera.llm.simhash import links_within_two, simhash_groups
 from tessera.llm.substring_dedup import dedup_windows
 from tessera.llm.suffix_dedup import dedup_suffixes
+from tessera.llm.suffix_ranks import dedup_by_ranks
 from tessera.operators.graph import connected_components
 
 
@@ -34,8 +35,8 @@ def test_suffix_dedup_matches_brute_force(docs):
                 gone[i : i + 50] = b"\1" * 50
         kept = bytes(c for c, g in zip(t, gone) if not g)
         want.append((r.doc_id, len(t), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest(), kept))
-    for size in (1 << 10, 8 << 20):  # many blocks, one block
-        got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept_text)) for r in dedup_suffixes(docs, block_bytes=size).collect()]
+    for f, size in ((dedup_suffixes, 1 << 10), (dedup_suffixes, 8 << 20), (dedup_by_ranks, 1 << 16)):  # many blocks, one block
+        got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept_text)) for r in f(docs, block_bytes=size).collect()]
         assert Counter(got) == Counter(want)
     assert any(w[2] for w in want)
 
@@ -188,7 +189,7 @@ def test_near_groups(spark):
 
 
 def test_empty_tables(nothing):
-    for f in (dedup_suffixes, dedup_windows, dedup_exact, drop_exact, simhash_groups, near_groups, drop_near):
+    for f in (dedup_suffixes, dedup_by_ranks, dedup_windows, dedup_exact, drop_exact, simhash_groups, near_groups, drop_near):
         assert f(nothing).count() == 0
 
 
