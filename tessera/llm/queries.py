@@ -10,7 +10,7 @@ from tessera.llm.exact_dedup import dedup_exact
 from tessera.llm.secret_scan import BASE, MORE, secrets_by_document
 from tessera.llm.simhash import simhash_groups
 from tessera.llm.substring_dedup import dedup_windows
-from tessera.llm.suffix_dedup import dedup_suffixes
+from tessera.llm.suffix_ranks import dedup_by_ranks
 from tessera.llm.url_filter import SOFT, STRICT, filter_urls
 
 
@@ -20,7 +20,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
-    return dedup_suffixes(docs, min_len=50, with_text=False).drop("kept_text")
+    return dedup_by_ranks(docs, min_len=50, with_text=False).drop("kept_text")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
