@@ -186,8 +186,8 @@ def rep_review_sheet(spark, sf):
     return got.withColumn("representative_rank", F.col("representative_rank").cast("long"))
 
 
-@query("finalize_audit", "SELECT c_custkey AS case_id, 'x' AS code_a, 'y' AS code_b FROM customer")
-def finalize_audit(spark, sf):
+@query("two_stage_join", "SELECT c_custkey AS case_id, 'x' AS code_a, 'y' AS code_b FROM customer")
+def two_stage_join(spark, sf):
     from tessera.operators.review import finalize_two_stage
 
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("case_id"))
@@ -196,8 +196,8 @@ def finalize_audit(spark, sf):
     return got
 
 
-@query("finalize_narratives", "SELECT 'blank' AS gate, count(*) AS n FROM nation WHERE n_nationkey % 5 = 0 UNION ALL SELECT 'vocabulary', count(*) FROM nation WHERE n_nationkey % 5 = 1")
-def finalize_narratives(spark, sf):
+@query("sheet_gates", "SELECT 'blank' AS gate, count(*) AS n FROM nation WHERE n_nationkey % 5 = 0 UNION ALL SELECT 'vocabulary', count(*) FROM nation WHERE n_nationkey % 5 = 1")
+def sheet_gates(spark, sf):
     from tessera.operators.review import finalize_sheet
 
     t = table(spark, sf, "nation").select("n_nationkey", "n_name")
@@ -208,6 +208,89 @@ def finalize_narratives(spark, sf):
     return issues.groupBy("gate").agg(F.count("*").alias("n"))
 
 
+@query(
+    "finalize_audit",
+    """WITH c AS (SELECT c_custkey AS k FROM customer), v AS (
+        SELECT 'stage_a_health_relevant_signal' AS field, CASE k % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE 'unclear' END AS value FROM c
+        UNION ALL SELECT 'stage_a_source_or_dataset_artifact', 'no' FROM c UNION ALL SELECT 'stage_a_label_ambiguity', CASE WHEN k % 7 = 0 THEN 'unclear' ELSE 'yes' END FROM c
+        UNION ALL SELECT 'stage_a_stance', CASE WHEN k % 2 = 0 THEN 'mixed' ELSE 'not_applicable' END FROM c UNION ALL SELECT 'stage_b_error_code', CASE WHEN k % 5 = 0 THEN 'topic_shortcut' ELSE 'no_model_error' END FROM c)
+        SELECT field, value, count(*) AS n, round(1.0e0 * count(*) / (SELECT count(*) FROM c), 6) AS fraction FROM v GROUP BY 1, 2""",
+)
+def finalize_audit(spark, sf):
+    from tessera.operators import finishing as Z
+
+    k = F.col("c_custkey")
+    context = [F.concat(F.lit("case_"), k).alias("case_id"), F.lit(Z.AUDIT_VERSION).alias("audit_protocol_version"), F.lit("r").alias("audit_roster_sha256")]
+    revealed = [k.cast("string").alias(c) for c in Z.AUDIT_REVEALED]
+    three = F.element_at(F.array(F.lit("Yes"), F.lit(" no"), F.lit("unclear")), (k % 3 + 1).cast("int"))
+    coded = [three, F.lit("no"), F.when(k % 7 == 0, "unclear").otherwise("YES"), F.when(k % 2 == 0, "mixed").otherwise("not_applicable"), F.lit("seen")]
+    error = [F.when(k % 5 == 0, "topic_shortcut").otherwise("no_model_error"), F.lit("read")]
+    a_fields, b_fields = (*Z.AUDIT_SIGNALS, "stage_a_stance", "stage_a_notes"), ("stage_b_error_code", "stage_b_review_notes")
+    c = table(spark, sf, "customer")
+    a = c.select(*context, *[x.alias(f) for x, f in zip(coded, a_fields, strict=True)])
+    b = c.select(*context, *revealed, *[x.alias(f) for x, f in zip(error, b_fields, strict=True)])
+    template = c.select(*context, *revealed, *[F.lit("").alias(f) for f in (*a_fields, *b_fields)])
+    status, issues, _, summary = Z.finalize_audit(a, b, template)
+    assert status == "completed", issues.take(5)
+    return summary
+
+
+_REVIEWED = f"""WITH {ASSIGNMENTS}, c AS (SELECT dataset, topic_id, count(DISTINCT record_id) AS records FROM assignments WHERE topic_id <> -1 GROUP BY 1, 2 HAVING count(DISTINCT record_id) >= 5),
+    r AS (SELECT *, row_number() OVER (PARTITION BY dataset, topic_id ORDER BY assigned_probability DESC, record_id) AS rn FROM assignments),
+    s AS (SELECT dataset, topic_id, count(*) AS seen, count(*) FILTER (WHERE record_id % 3 <> 0) AS support FROM r WHERE rn <= 5 GROUP BY 1, 2),
+    t AS (SELECT c.*, seen, support, topic_id % 4 = 3 AS unsound FROM c JOIN s USING (dataset, topic_id)),
+    n AS (SELECT dataset, concat('n', topic_id % 3) AS final_narrative_id, sum(records) AS records, string_agg(CAST(topic_id AS VARCHAR), '|' ORDER BY topic_id) AS topics, sum(seen) AS seen, sum(support) AS support FROM t WHERE NOT unsound GROUP BY 1, 2)"""
+
+
+def _reviewed(spark, sf):
+    """Sheets as a reviewer might fill them: topics 3 and 7 are mixed, three narratives a dataset."""
+    from tessera.operators import finishing as Z
+    from tessera.operators.review import candidate_topics, representative_sheet
+
+    a = assignments(spark, sf)
+    c = candidate_topics(a, 5)
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("record_id"), "text")
+    expected = representative_sheet(a, c, docs, 5, 800)
+    shown = expected.withColumns({"human_supports_topic": F.when(F.col("record_id") % 3 != 0, "Yes").otherwise("no"), "human_stance": F.lit("discussion"), "human_artifact_pattern": F.lit("none"), "human_review_confirmation": F.lit("human_reviewed")})
+    c = c.withColumnRenamed("eligible", "eligible_topic_size").withColumn("machine_topic_name", F.concat(F.lit("topic "), "topic_id"))
+    k = F.col("topic_id")
+    entered = {
+        "human_topic_coherence": F.when(k % 4 == 3, "mixed").otherwise(" Coherent"),
+        "human_topic_stance": F.lit("mixed"),
+        "human_artifact_pattern": F.lit("none"),
+        "human_review_confirmation": F.lit("human_reviewed"),
+        "human_narrative_id": F.concat(F.lit("n"), k % 3),
+        "human_narrative_label": F.concat(F.lit("Story "), k % 3),
+        "human_label_source": F.lit("reviewer_authored"),
+    }
+    topics = c.where("eligible_topic_size").withColumns(entered)
+    got = Z.finalize_narratives(c, topics, shown, expected, least_documents=20, least_representatives=5)
+    assert got[0] == "completed", got[1].take(5)
+    return got
+
+
+_KEPT = "records >= 20 AND support >= 5"
+
+
+@query(
+    "finalize_narratives",
+    f"""{_REVIEWED} SELECT dataset, final_narrative_id, concat('Story ', substr(final_narrative_id, 2)) AS candidate_narrative_label, CAST(records AS BIGINT) AS records, topics, CAST(seen AS BIGINT) AS representatives_reviewed,
+        CAST(support AS BIGINT) AS representatives_supporting, {_KEPT} AS retained, CASE WHEN records < 20 THEN 'fewer_than_minimum_documents' WHEN support < 5 THEN 'fewer_than_minimum_supporting_representatives' ELSE 'retained_after_human_validation' END AS retention_reason FROM n""",
+)
+def finalize_narratives(spark, sf):
+    return _reviewed(spark, sf)[2]
+
+
+@query(
+    "narrative_outcomes",
+    f"""{_REVIEWED} SELECT t.dataset, CAST(topic_id AS BIGINT) AS topic_id, NOT unsound AND coalesce({_KEPT.replace("records", "n.records").replace("support", "n.support")}, false) AS retained,
+        CASE WHEN unsound THEN 'rejected_mixed' WHEN {_KEPT.replace("records", "n.records").replace("support", "n.support")} THEN 'retained_after_human_validation' ELSE 'rejected_by_narrative_retention_gate' END AS retention_reason
+        FROM t LEFT JOIN n ON n.dataset = t.dataset AND n.final_narrative_id = concat('n', topic_id % 3)""",
+)
+def narrative_outcomes(spark, sf):
+    return _reviewed(spark, sf)[4].select("dataset", "topic_id", "retained", "retention_reason")
+
+
 @query("agg_narrative_perf", f"WITH {KEYED}, g AS (SELECT dataset, record_id % 7 AS narrative_id, count(*) AS n, count(*) FILTER (WHERE y = 1 AND pa = 1) AS tp, count(*) FILTER (WHERE y = 0 AND pa = 1) AS fp, count(*) FILTER (WHERE y = 1 AND pa = 0) AS fn, count(*) FILTER (WHERE y = 0 AND pa = 0) AS tn FROM keyed GROUP BY 1, 2) SELECT dataset, narrative_id, n, n >= 20 AND tp + fn >= 5 AND tn + fp >= 5 AS eligible, CASE WHEN n >= 20 AND tp + fn >= 5 AND tn + fp >= 5 THEN round((2.0e0 * tp / (2 * tp + fp + fn) + 2.0e0 * tn / (2 * tn + fp + fn)) / 2, 6) END AS macro_f1, CASE WHEN n >= 20 AND tp + fn >= 5 AND tn + fp >= 5 THEN round(2.0e0 * tp / (2 * tp + fp + fn), 6) END AS unreliable_f1 FROM g")
 def agg_narrative_perf(spark, sf):
     from tessera.operators.review import narrative_performance

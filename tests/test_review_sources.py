@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import finishing as Z
 from tessera.operators import review as V
 from tessera.operators.explain import stability
 from tessera.operators.features import candidates, grid, term_counts, tfidf, vocabulary
@@ -106,3 +107,69 @@ def test_table_inventory(spark, tmp_path):
     got = {r.path[-6:]: (r.records, r.status[:5]) for r in tables.collect()}
     assert got == {"/a.csv": (2, "ok"), "b.json": (2, "ok"), "c.json": (None, "error")}
     assert sorted((r.path[-6:], r.field) for r in fields.collect()) == [("/a.csv", "x"), ("/a.csv", "y"), ("b.json", "j"), ("b.json", "k")]
+
+
+def _sheets(spark):
+    c = spark.createDataFrame([("d", 1, 40, True, "vaccine cure"), ("d", 2, 10, True, "diet"), ("d", 3, 50, True, "x"), ("d", 4, 3, False, "y")], "dataset string, topic_id int, records int, eligible_topic_size boolean, machine_topic_name string")
+    said = [(1, "coherent", "none", "n1", "Cures"), (2, "Coherent ", "none", "n1", "Cures"), (3, "mixed", "publisher", None, None)]
+    t = spark.createDataFrame(said, "topic_id int, human_topic_coherence string, human_artifact_pattern string, human_narrative_id string, human_narrative_label string")
+    t = c.where("eligible_topic_size").join(t, "topic_id").withColumns({"human_topic_stance": F.lit("discussion"), "human_review_confirmation": F.lit("human_reviewed"), "human_label_source": F.lit("reviewer_authored")})
+    e = spark.createDataFrame([("d", k, f"r{k}{j}", j, "text") for k in (1, 2, 3) for j in range(2)], "dataset string, topic_id int, record_id string, representative_rank int, excerpt string")
+    s = e.withColumns({"human_supports_topic": F.lit("yes"), "human_stance": F.lit("mixed"), "human_artifact_pattern": F.lit("none"), "human_review_confirmation": F.lit("human_reviewed")})
+    return c, t, s, e
+
+
+def test_narrative_gates(spark):
+    c, t, s, e = _sheets(spark)
+
+    def run(t=t, s=s, **kw):
+        return Z.finalize_narratives(c, t, s, e, least_representatives=2, **kw)
+
+    status, _, narratives, mapping, outcomes = run()
+    assert status == "completed"
+    n = narratives.first()
+    assert narratives.count() == 1 and (n.records, n.topics, n.representatives_supporting, n.retained) == (50, "1|2", 4, True)
+    assert {r.topic_id for r in mapping.collect()} == {1, 2}
+    assert {r.topic_id: r.retention_reason for r in outcomes.collect()} == {1: "retained_after_human_validation", 2: "retained_after_human_validation", 3: "rejected_publisher_artifact_pattern"}
+    assert run(least_documents=51)[2].first().retention_reason == "fewer_than_minimum_documents"
+    one = lambda col, v: t.withColumn(col, F.when(F.col("topic_id") == 1, v).otherwise(F.col(col)))
+    for sheet, gate in (
+        (one("human_review_confirmation", None), "confirmation"),
+        (one("human_narrative_label", "Vaccine, CURE!"), "machine label"),
+        (one("human_narrative_label", "Other"), "merged labels"),
+        (one("human_label_source", "machine"), "label source"),
+        (one("records", 41), "topic review: context"),
+        (t.where("topic_id <> 1"), "topic review: missing row"),
+        (t.unionByName(t), "repeated in topic review"),
+        (t.withColumn("topic_id", F.lit("1.5")), "key"),
+    ):
+        status, issues, narratives, _, _ = run(t=sheet)
+        assert status == "awaiting_human_validation" and narratives is None and gate in {r.gate for r in issues.collect()}, gate
+    assert "representatives" in {r.gate for r in run(s=s.withColumn("human_stance", F.lit("")))[1].collect()}
+    assert run(s=s.drop("record_id"))[1].first().gate == "schema"
+    with pytest.raises(ValueError):
+        run(confirmation=" ")
+
+
+def test_audit_gates(spark):
+    base = spark.createDataFrame([("c1",), ("c2",)], "case_id string").withColumns({"audit_protocol_version": F.lit(Z.AUDIT_VERSION), "audit_roster_sha256": F.lit("h")})
+    revealed = {c: F.lit("v") for c in Z.AUDIT_REVEALED}
+    a_codes = {**{c: F.lit("Yes") for c in Z.AUDIT_SIGNALS}, "stage_a_stance": F.lit("mixed"), "stage_a_notes": F.lit(" n ")}
+    b_codes = {"stage_b_error_code": F.lit("topic_shortcut"), "stage_b_review_notes": F.lit("m")}
+    a, b = base.withColumns(a_codes), base.withColumns(revealed | b_codes)
+    template = base.withColumns(revealed | {c: F.lit("") for c in [*a_codes, *b_codes]})
+    status, _, cases, summary = Z.finalize_audit(a, b, template)
+    assert status == "completed" and cases.count() == 2 and cases.first().stage_a_notes == "n"
+    assert {(r.field, r.value, r.n) for r in summary.collect()} >= {("stage_b_error_code", "topic_shortcut", 2), ("stage_a_stance", "mixed", 2)}
+    for x, y, gate in (
+        (a.withColumn("stage_a_stance", F.lit("odd")), b, "vocabulary"),
+        (a, b.withColumn("stage_b_review_notes", F.lit(None).cast("string")), "blank"),
+        (a.withColumn("audit_roster_sha256", F.lit("other")), b, "stages differ"),
+        (a.withColumn("audit_protocol_version", F.lit("v0")), b, "protocol version"),
+        (a, b.withColumn("anchor_outcome", F.lit("changed")), "stage B: context"),
+        (a.where("case_id = 'c1'"), b, "stage A: missing row"),
+        (a.limit(0), b, "no cases"),
+        (a.drop("stage_a_notes"), b, "schema"),
+    ):
+        status, issues, got, _ = Z.finalize_audit(x, y, template)
+        assert status == "awaiting_human_validation" and got is None and gate in {r.gate for r in issues.collect()}, gate
