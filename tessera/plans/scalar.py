@@ -186,9 +186,17 @@ def count_outcome_terms(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.count_terms(F.col("text"), TERMS).cast("long").alias("hits"))
 
 
-@query("is_artifact_feature", "SELECT source, contains(source, 'zzz') AS artifact FROM documents GROUP BY source")
+FEATURES = ("facebook", "news url", "curl", "Artifact value", "the YouTube channel", "twitters", "health", "open source", "resource", "cloudflare")
+
+
+@query(
+    "is_artifact_feature",
+    f"""WITH f AS (SELECT DISTINCT source, list_extract({list(FEATURES)!r}, CAST(doc_id % 10 + 1 AS BIGINT)) AS feature FROM documents)
+    SELECT source, feature, len(list_filter(string_split(lower(feature), ' '), lambda w: list_contains(['facebook', 'url', 'artifact', 'youtube', 'source', 'cloudflare'], w))) > 0 AS artifact FROM f""",
+)
 def is_artifact_feature(spark, sf):
-    return table(spark, sf, "documents").select("source").distinct().select("source", T.is_artifact_feature(F.col("source")).alias("artifact"))
+    d = table(spark, sf, "documents").select("source", F.element_at(F.array(*map(F.lit, FEATURES)), (F.col("doc_id") % 10 + 1).cast("int")).alias("feature")).distinct()
+    return d.select("source", "feature", T.is_artifact_feature(F.col("feature")).alias("artifact"))
 
 
 @query("normalize_publisher_name", "SELECT DISTINCT source, trim(regexp_replace(lower(source), '[^a-z0-9]+', ' ', 'g')) AS publisher FROM documents")
