@@ -14,6 +14,7 @@ further columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -54,21 +55,39 @@ def blob_id(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once: a lambda would compute what it captures for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _runs(xs: Column) -> Column:
+    """An array in runs of about the square root of its length: what is built by appending then grows within a run only."""
+    most = F.greatest(F.ceil(F.sqrt(F.size(xs))), F.lit(1)).cast("int")
+    return _let(most, lambda n: F.transform(F.sequence(F.lit(0), F.floor(F.size(xs) / n).cast("int")), lambda i: F.slice(xs, i * n + 1, n)))
+
+
 def spans(text: Column, rule: Rule, order: int) -> Column:
     """Places of a rule's matches, leftmost first and not overlapping, in code points with an exclusive end."""
     pattern = F.lit(rule.pattern)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     long_enough = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda g: F.length(g) >= rule.least) if rule.least else F.transform(whole, lambda g: F.lit(True))
     parts = F.arrays_zip(F.transform(F.slice(F.split(text, rule.pattern, -1), 1, F.size(whole)), F.length).alias("gap"), F.transform(whole, F.length).alias("size"), long_enough.alias("ok"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
-
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
         end = begin + x["size"]
         one = F.struct(begin.alias("start"), F.lit(order).alias("order"), end.alias("end"), F.lit(rule.kind).alias("kind"))
         return F.struct(end.alias("at"), F.when(x["ok"], F.concat(acc["found"], F.array(one))).otherwise(acc["found"]).alias("found"))
 
-    return F.when(text.rlike(rule.pattern), F.aggregate(parts, start, step, lambda a: a["found"])).otherwise(F.array().cast(SPAN))
+    def places(xs: Column, before: Column) -> Column:
+        start = F.struct(before.alias("at"), F.array().cast(SPAN).alias("found"))
+        return F.aggregate(xs, start, step, lambda a: a["found"])
+
+    def joined(runs: Column) -> Column:
+        sizes = F.transform(runs, lambda xs: F.aggregate(xs, F.lit(0), lambda acc, x: acc + x["gap"] + x["size"]))
+        return _let(sizes, lambda ns: F.flatten(F.transform(runs, lambda xs, i: places(xs, F.aggregate(F.slice(ns, 1, i), F.lit(0), lambda acc, n: acc + n)))))
+
+    found = _let(parts, lambda xs: _let(_runs(xs), joined))
+    return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(SPAN))
 
 
 def scan_versions(files: DataFrame, *, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None, path_col: str = "path", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -90,7 +109,8 @@ def scan_versions(files: DataFrame, *, rules: tuple[Rule, ...] = RULES, ledger:
         for r in rules:
             current = current | ((F.col("rule") == r.kind) & (F.col("rule_version") == r.version))
         ledger = ledger.where(current)
-        seen = ledger.groupBy("blob").agg(F.collect_set("rule").alias("seen"))  # at most one name a rule
+        present = ledger.join(holders.select("blob"), "blob", "left_semi")  # a scan needs no more of it than its own blobs
+        seen = present.groupBy("blob").agg(F.collect_set("rule").alias("seen"))  # at most one name a rule
         holders = holders.join(seen, "blob", "left").where(f"seen IS NULL OR size(seen) < {len(rules)}")
         holders = holders.withColumn("seen", F.coalesce("seen", F.array().cast("array<string>")))
     todo = own.select("key", "blob", "text").join(holders.hint("shuffle_hash"), ["key", "blob"])
@@ -107,7 +127,7 @@ def scan_versions(files: DataFrame, *, rules: tuple[Rule, ...] = RULES, ledger:
     if ledger is None:
         hits = scanned.select("blob", F.array_sort(F.concat(*names)).alias("spans"))
     else:
-        hits = full.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))  # a list for each rule, no more
+        hits = present.select("blob", "rule", "rule_version", "spans").unionByName(fresh).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))  # a list for each rule, no more
     hits = hits.where("size(spans) > 0")
     findings = versions.join(hits, "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
     return findings, full
