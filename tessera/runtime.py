@@ -90,3 +90,8 @@ def text_bytes(df: DataFrame, column: str) -> int:
 def parts_for(n_bytes: int, target: int, least: int = 1) -> int:
     """How many parts of about ``target`` bytes hold ``n_bytes``."""
     return max(least, -(-n_bytes // target))
+
+
+def tasks_for(n_bytes: int, target: int = 16 << 20, most: int = 20_000) -> int:
+    """Partitions of an exchange of ``n_bytes`` of text: of about ``target`` bytes each, and larger ones past ``most``."""
+    return min(most, parts_for(n_bytes, target, 8))
