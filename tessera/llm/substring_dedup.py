@@ -8,6 +8,13 @@ window fingerprints there counts them exactly. A block of documents sends
 each distinct super-k-mer once, with a mark if it holds it several times, so
 that a passage of a third of all rows costs a bucket one string a block.
 
+A minimiser may be hot: a phrase in a third of all documents, each time between
+other words, would bring all of these strings to one bucket. A first pass
+weighs the minimisers; what it finds hot does not travel as strings: each of
+its windows goes as a fingerprint to the bucket that the fingerprint names, so
+the windows of one minimiser spread over all buckets. Equal windows share their
+minimiser, so they always travel alike and still meet.
+
 Definite results: null or empty text has no words; fewer words than a window
 are never removed; a null doc_id is an ordinary row; rows with one doc_id are
 rows of their own; further input columns are ignored. Fingerprints are 128
@@ -17,14 +24,17 @@ bits: two different windows fall together with odds of about n^2 / 2^129.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessera.llm import blocks as B
-from tessera.runtime import parts_for, text_bytes
+from tessera.runtime import parts_for, tasks_for, text_bytes
 
+WEIGHED = 64 << 20  # bytes of text that a task weighs before it reports
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
@@ -58,25 +68,78 @@ def _block(table: pa.Table, window: int, m: int):
     return ids, texts, parts
 
 
-def _distinct(parts, n_buckets: int):
-    """Distinct runs: (order, begin, bucket) over all runs of the block, by bucket and then content."""
+def _hot_minimisers(docs: DataFrame, text_col: str, window: int, m: int, total: int, limit: int) -> np.ndarray:
+    """Minimisers of ``limit`` windows or more, sorted; all of twice as many are found.
+
+    Each part of a task's texts reports the minimisers that hold more than the
+    part's share of ``limit``; so one goes without less than ``limit`` windows
+    in all, and no more than total / limit of them reach the driver.
+    """
+
+    def flush(size: int, low: list[np.ndarray], count: list[np.ndarray]) -> pa.RecordBatch:
+        values, inverse = np.unique(np.concatenate(low), return_inverse=True)
+        weight = np.bincount(inverse, weights=np.concatenate(count)).astype(np.int64)
+        keep = weight > limit * (size / max(1, total))
+        return pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(weight[keep])], ["low", "weight"])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, low, count = 0, [], []
+        for part in (part for whole in batches for part in B.by_bytes(whole, 0)):
+            texts = B.texts_of(part.column(0))
+            _, _, n, least, *_ = _runs([b" ".join(t.split()) for t in texts], window, m)
+            size += sum(map(len, texts))
+            low.append(least)
+            count.append(n)
+            if size >= WEIGHED:
+                yield flush(size, low, count)
+                size, low, count = 0, [], []
+        if low:
+            yield flush(size, low, count)
+
+    found = docs.select(F.col(text_col).cast("string")).mapInArrow(B.released(weigh), "low long, weight long")
+    found = found.groupBy("low").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= limit)
+    return np.sort(np.array([r["low"] for r in found.select("low").collect()], dtype=np.int64).view(np.uint64))
+
+
+def _distinct(parts, n_buckets: int, hot: np.ndarray):
+    """Distinct runs by bucket: their indices, each run's place among them, buckets, times. Hot ones come last, in bucket ``n_buckets``."""
     low, a, b = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.uint64) for k in (4, 5, 6))
-    bucket = (B.mix(low) % np.uint64(n_buckets)).astype(np.int64)
+    bucket = np.where(np.isin(low, hot), n_buckets, (B.mix(low) % np.uint64(n_buckets)).astype(np.int64))
     order, begin = B.group_equal(a, b)
     heads = order[begin]
     group = np.cumsum(begin) - 1
     inverse = np.empty(len(order), dtype=np.int64)
     inverse[order] = group
-    by_bucket = np.argsort(bucket[heads], kind="stable")
+    by_bucket = np.lexsort((heads, bucket[heads]))
     rank = np.empty(len(heads), dtype=np.int64)
     rank[by_bucket] = np.arange(len(heads))
     return heads[by_bucket], rank[inverse], bucket[heads[by_bucket]], np.bincount(rank[inverse], minlength=len(heads))
 
 
-def _send(table: pa.Table, window: int, m: int, n_buckets: int) -> pa.Table:
+def _spread(parts, heads: np.ndarray, window: int, n_buckets: int):
+    """Fingerprints of all windows of the given runs (in order of their indices), the bucket of each, and the order by bucket."""
+    a, b, at = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], 0
+    for _, w, first, count, *_ in parts:
+        own = heads[slice(*np.searchsorted(heads, [at, at + len(first)]))] - at
+        at += len(first)
+        if len(own):
+            where = B.ragged(first[own], count[own])
+            for k, out in ((0, a), (1, b)):
+                out.append(B.windows(B.prefix(w.hashes(k), k), window, k)[where])
+    a, b = np.concatenate(a), np.concatenate(b)
+    bucket = (B.mix(a) % np.uint64(n_buckets)).astype(np.int64)
+    return a, b, bucket, np.argsort(bucket, kind="stable")
+
+
+def _send(table: pa.Table, window: int, m: int, n_buckets: int, hot: np.ndarray) -> pa.Table:
     block = table.column("block")[0].as_py()
     _, _, parts = _block(table, window, m)
-    heads, _, bucket, times = _distinct(parts, n_buckets)
+    heads, _, bucket, times = _distinct(parts, n_buckets, hot)
+    n = int(np.searchsorted(bucket, n_buckets))  # the rest are hot
+    all_counts = np.concatenate([p[3] for p in parts]) if parts else np.empty(0, np.int64)
+    a, b, to, by = _spread(parts, heads[n:], window, n_buckets)
+    a, b, to, twice = a[by], b[by], to[by], np.repeat(times[n:] > 1, all_counts[heads[n:]])[by]
+    heads, bucket, times = heads[:n], bucket[:n], times[:n]
     strings: list[bytes] = [b""] * len(heads)
     counts = np.zeros(len(heads), dtype=np.int32)
     at = 0
@@ -92,12 +155,10 @@ def _send(table: pa.Table, window: int, m: int, n_buckets: int) -> pa.Table:
         for k, x, y in zip(where[lo:hi].tolist(), begin.tolist(), end.tolist(), strict=True):
             strings[k] = raw[x:y]
         at += len(first)
-    cuts = np.flatnonzero(np.diff(bucket)) + 1
-    edges = [0, *cuts.tolist(), len(heads)] if len(heads) else [0]
-    keys, blobs = [], []
-    for x, y in zip(edges[:-1], edges[1:], strict=True):
-        keys.append(int(bucket[x]))
-        blobs.append(B.arrays(counts[x:y], (times[x:y] > 1).astype(np.uint8), b"\n".join(strings[x:y])))
+    keys, blobs = np.union1d(bucket, to), []
+    edges = (np.searchsorted(x, keys, side=side).tolist() for x in (bucket, to) for side in ("left", "right"))
+    for x, y, u, v in zip(*edges, strict=True):
+        blobs.append(B.arrays(counts[x:y], (times[x:y] > 1).astype(np.uint8), b"\n".join(strings[x:y]), a[u:v], b[u:v], twice[u:v].astype(np.uint8)))
     return pa.table({"bucket": pa.array(keys, pa.int64()), "block": pa.array([block] * len(keys), pa.int64()), "payload": pa.array(blobs, pa.binary())})
 
 
@@ -106,8 +167,8 @@ def _count(table: pa.Table, window: int) -> pa.Table:
     blocks, bits, sizes = table.column("block").to_pylist(), [], []
     a, b, many = [], [], []
     for blob in table.column("payload").to_pylist():
-        counts, twice, raw = B.unpack(blob, np.int32, np.uint8, None)
-        texts, n = raw.split(b"\n"), 0
+        counts, twice, raw, hot_a, hot_b, hot_twice = B.unpack(blob, np.int32, np.uint8, None, np.uint64, np.uint64, np.uint8)
+        texts, n = raw.split(b"\n") if len(counts) else [], 0
         at = 0
         for s in B.slices(texts):
             w = B.Words(texts[s])
@@ -119,7 +180,10 @@ def _count(table: pa.Table, window: int) -> pa.Table:
             n += len(at_window)
             at = s.stop
         assert at == len(counts), "a run was lost"
-        sizes.append(n)
+        a.append(hot_a)
+        b.append(hot_b)
+        many.append(hot_twice)
+        sizes.append(n + len(hot_a))
     a, b, many = np.concatenate(a), np.concatenate(b), np.concatenate(many)
     order, begin = B.group_equal(a, b)
     group = np.cumsum(begin) - 1
@@ -133,17 +197,26 @@ def _count(table: pa.Table, window: int) -> pa.Table:
     return pa.table({"block": pa.array(blocks, pa.int64()), "bucket": table.column("bucket").combine_chunks(), "payload": pa.array(bits, pa.binary())})
 
 
-def _finish(docs: pa.Table, marks: pa.Table, window: int, m: int, n_buckets: int, with_text: bool) -> pa.Table:
+def _finish(docs: pa.Table, marks: pa.Table, window: int, m: int, n_buckets: int, hot: np.ndarray, with_text: bool) -> pa.Table:
     ids, texts, parts = _block(docs, window, m)
-    heads, rank, bucket, _ = _distinct(parts, n_buckets)
+    heads, rank, bucket, _ = _distinct(parts, n_buckets, hot)
     all_counts = np.concatenate([p[3] for p in parts]) if parts else np.empty(0, np.int64)
     head_counts = all_counts[heads]
     got = sorted(zip(marks.column("bucket").to_pylist(), marks.column("payload").to_pylist(), strict=True))
-    flags = []
-    for _, blob in got:
+    own = np.bincount(bucket, weights=head_counts, minlength=n_buckets + 1).astype(np.int64)  # windows that went as strings
+    _, _, _, by = _spread(parts, heads[bucket == n_buckets], window, n_buckets)
+    flags, spread = [np.empty(0, np.uint8)], [np.empty(0, np.uint8)]
+    for k, blob in got:
         n, raw = B.unpack(blob, np.int64, np.uint8)
-        flags.append(np.unpackbits(raw, count=int(n[0])))
-    flag = np.concatenate(flags).astype(bool) if flags else np.empty(0, bool)
+        bits = np.unpackbits(raw, count=int(n[0]))
+        flags.append(bits[: own[k]])
+        spread.append(bits[own[k] :])
+    spread = np.concatenate(spread)
+    if len(spread) != len(by):
+        raise ValueError("answers do not fit the block's hot windows")
+    flags.append(np.empty(len(by), np.uint8))
+    flags[-1][by] = spread
+    flag = np.concatenate(flags).astype(bool)
     if len(flag) != int(head_counts.sum()):
         raise ValueError("answers do not fit the block's runs")
     head_at = np.cumsum(head_counts) - head_counts
@@ -171,17 +244,22 @@ def _finish(docs: pa.Table, marks: pa.Table, window: int, m: int, n_buckets: int
     return pa.table({"doc_id": B.doc_ids(ids), "n_words": pa.array(out["n_words"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "kept_sha256": pa.array(out["kept_sha256"], pa.string()), "kept_text": pa.array(out["kept_text"], pa.string())})
 
 
-def dedup_windows(docs: DataFrame, *, window: int = 35, m: int = 8, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, block_bytes: int = 8 << 20) -> DataFrame:
+def dedup_windows(docs: DataFrame, *, window: int = 35, m: int = 8, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, block_bytes: int = 8 << 20, hot_windows: int = 2_000_000) -> DataFrame:
     """Remove words covered by a ``window``-word sequence that starts anywhere else too.
 
     Returns one row per input row: doc_id, n_words, n_removed, kept_sha256,
-    kept_text (null unless ``with_text``).
+    kept_text (null unless ``with_text``). A minimiser of ``hot_windows``
+    windows or more is spread over all buckets.
     """
     m = min(m, window)
     total = text_bytes(docs, text_col)
     n_blocks = parts_for(total, block_bytes)
     n_buckets = 2 * n_blocks
+    # a text of n bytes has fewer than n / 2 windows, so at most 2^23 minimisers are hot (64 MB), and these only at 100 TB or so
+    hot = docs.sparkSession.sparkContext.broadcast(_hot_minimisers(docs, text_col, window, m, total, max(hot_windows, total >> 24)))
     packed = B.pack_docs(docs, id_col, text_col, n_blocks)
-    sent = packed.groupBy("block").applyInArrow(lambda t: _send(t, window, m, n_buckets), "bucket long, block long, payload binary")
+    sent = packed.groupBy("block").applyInArrow(lambda t: _send(t, window, m, n_buckets, hot.value), "bucket long, block long, payload binary")
+    # partitions follow the data, not the session's setting
+    sent = sent.repartition(tasks_for(total), "bucket")
     marks = sent.groupBy("bucket").applyInArrow(lambda t: _count(t, window), "block long, bucket long, payload binary")
-    return packed.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(lambda d, r: _finish(d, r, window, m, n_buckets, with_text), OUT)
+    return packed.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(lambda d, r: _finish(d, r, window, m, n_buckets, hot.value, with_text), OUT)

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -9,7 +10,7 @@ from tessera.llm.exact_dedup import dedup_exact, drop_exact, maybe_repeated
 from tessera.llm.golay import decode, near_keys
 from tessera.llm.near_dedup import drop_near, near_groups
 from tessera.llm.simhash import links_within_two, simhash_groups
-from tessera.llm.substring_dedup import dedup_windows
+from tessera.llm.substring_dedup import _hot_minimisers, dedup_windows
 from tessera.llm.suffix_dedup import dedup_suffixes
 from tessera.llm.suffix_ranks import dedup_by_ranks
 from tessera.operators.graph import connected_components
@@ -70,12 +71,26 @@ def test_window_dedup_matches_brute_force(docs):
                 gone[i : i + 35] = [True] * 35
         kept = " ".join(x for x, g in zip(w, gone) if not g)
         want.append((r.doc_id, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest(), kept))
-    for size in (1 << 10, 8 << 20):
-        got = [tuple(r) for r in dedup_windows(docs, block_bytes=size).collect()]
+    for size, hot in ((1 << 10, 1 << 30), (8 << 20, 1 << 30), (1 << 10, 1), (1 << 10, 40), (8 << 20, 20)):
+        got = [tuple(r) for r in dedup_windows(docs, block_bytes=size, hot_windows=hot).collect()]
         assert Counter(got) == Counter(want)
     assert any(w[2] for w in want)
 
 
+def test_a_phrase_in_every_document_is_hot_and_spreads(spark):
+    r = random.Random(5)
+    say = lambda k: " ".join(f"w{r.randrange(10**6)}" for _ in range(k))
+    phrase, rows = say(20), []
+    for i in range(40):
+        rows.append((i, f"{say(40)} {phrase} {say(40)}"))
+    rows += [(90, rows[3][1]), (91, None), (92, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    hot = _hot_minimisers(df, "text", 35, 8, sum(len(t or "") for _, t in rows), 200)
+    assert 0 < len(hot) < 10
+    got = {x.doc_id: x.n_removed for x in dedup_windows(df, hot_windows=200, block_bytes=1 << 10).collect()}
+    assert got == {**{i: 0 for i, _ in rows}, 3: 100, 90: 100}
+
+
 def test_exact_dedup(docs):
     rows = docs.collect()
     norm = [re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "") for r in rows]
