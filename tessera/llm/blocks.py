@@ -11,7 +11,7 @@ from __future__ import annotations
 import ctypes
 import struct
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -200,6 +200,43 @@ def pack_docs(docs: DataFrame, id_col: str, text_col: str, n_blocks: int) -> Dat
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "block long, payload binary")
 
 
+WEIGHED = 64 << 20  # bytes of text that a task weighs before it reports
+
+
+def heavy_keys(docs: DataFrame, text_col: str, weigh: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], total: int, limit: int) -> np.ndarray:
+    """Keys (unsigned, sorted) of weight ``limit`` or more; all of twice as much are found.
+
+    ``weigh`` gives keys and weights of some texts. Each part of a task's texts
+    reports the keys that hold more than the part's share of ``limit``: so one
+    goes without less than ``limit`` in all, and the driver gets no more keys
+    than the whole weight divided by ``limit``.
+    """
+
+    def report(size: int, keys: list[np.ndarray], weights: list[np.ndarray]) -> pa.RecordBatch:
+        values, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        weight = np.bincount(inverse, weights=np.concatenate(weights), minlength=len(values)).astype(np.int64)
+        keep = weight > limit * (size / max(1, total))
+        return pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(weight[keep])], ["key", "weight"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, keys, weights = 0, [], []
+        for part in (part for whole in batches for part in by_bytes(whole, 0)):
+            texts = texts_of(part.column(0))
+            k, w = weigh(texts)
+            size += sum(map(len, texts))
+            keys.append(k)
+            weights.append(w)
+            if size >= WEIGHED:
+                yield report(size, keys, weights)
+                size, keys, weights = 0, [], []
+        if keys:
+            yield report(size, keys, weights)
+
+    found = docs.select(F.col(text_col).cast("string")).mapInArrow(released(run), "key long, weight long")
+    found = found.groupBy("key").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= limit)
+    return np.sort(np.array([r["key"] for r in found.select("key").collect()], dtype=np.int64).view(U64))
+
+
 def unpack_docs(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
     """The documents of one block in doc_id order (ties: by text)."""
     ids, texts = [], []

@@ -24,17 +24,14 @@ bits: two different windows fall together with odds of about n^2 / 2^129.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tessera.llm import blocks as B
 from tessera.runtime import parts_for, tasks_for, text_bytes
 
-WEIGHED = 64 << 20  # bytes of text that a task weighs before it reports
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
@@ -69,36 +66,11 @@ def _block(table: pa.Table, window: int, m: int):
 
 
 def _hot_minimisers(docs: DataFrame, text_col: str, window: int, m: int, total: int, limit: int) -> np.ndarray:
-    """Minimisers of ``limit`` windows or more, sorted; all of twice as many are found.
+    def weigh(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        _, _, count, low, *_ = _runs([b" ".join(t.split()) for t in texts], window, m)
+        return low, count
 
-    Each part of a task's texts reports the minimisers that hold more than the
-    part's share of ``limit``; so one goes without less than ``limit`` windows
-    in all, and no more than total / limit of them reach the driver.
-    """
-
-    def flush(size: int, low: list[np.ndarray], count: list[np.ndarray]) -> pa.RecordBatch:
-        values, inverse = np.unique(np.concatenate(low), return_inverse=True)
-        weight = np.bincount(inverse, weights=np.concatenate(count)).astype(np.int64)
-        keep = weight > limit * (size / max(1, total))
-        return pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(weight[keep])], ["low", "weight"])
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, low, count = 0, [], []
-        for part in (part for whole in batches for part in B.by_bytes(whole, 0)):
-            texts = B.texts_of(part.column(0))
-            _, _, n, least, *_ = _runs([b" ".join(t.split()) for t in texts], window, m)
-            size += sum(map(len, texts))
-            low.append(least)
-            count.append(n)
-            if size >= WEIGHED:
-                yield flush(size, low, count)
-                size, low, count = 0, [], []
-        if low:
-            yield flush(size, low, count)
-
-    found = docs.select(F.col(text_col).cast("string")).mapInArrow(B.released(weigh), "low long, weight long")
-    found = found.groupBy("low").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= limit)
-    return np.sort(np.array([r["low"] for r in found.select("low").collect()], dtype=np.int64).view(np.uint64))
+    return B.heavy_keys(docs, text_col, weigh, total, limit)
 
 
 def _distinct(parts, n_buckets: int, hot: np.ndarray):

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from functools import partial
 
 import numpy as np
 import xxhash
@@ -11,7 +12,7 @@ from tessera.llm.golay import decode, near_keys
 from tessera.llm.near_dedup import drop_near, near_groups
 from tessera.llm.simhash import links_within_two, simhash_groups
 from tessera.llm.substring_dedup import _hot_minimisers, dedup_windows
-from tessera.llm.suffix_dedup import dedup_suffixes
+from tessera.llm.suffix_dedup import _hot_samples, dedup_suffixes
 from tessera.llm.suffix_ranks import dedup_by_ranks
 from tessera.operators.graph import connected_components
 
@@ -36,7 +37,7 @@ def test_suffix_dedup_matches_brute_force(docs):
                 gone[i : i + 50] = b"\1" * 50
         kept = bytes(c for c, g in zip(t, gone) if not g)
         want.append((r.doc_id, len(t), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest(), kept))
-    for f, size in ((dedup_suffixes, 1 << 10), (dedup_suffixes, 8 << 20), (dedup_by_ranks, 1 << 16)):  # many blocks, one block
+    for f, size in ((dedup_suffixes, 1 << 10), (partial(dedup_suffixes, hot_windows=9), 1 << 10), (dedup_suffixes, 8 << 20), (dedup_by_ranks, 1 << 16)):  # many blocks, one block
         got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept_text)) for r in f(docs, block_bytes=size).collect()]
         assert Counter(got) == Counter(want)
     assert any(w[2] for w in want)
@@ -49,14 +50,15 @@ def test_suffix_dedup_odd_threshold(docs):
         t = (r.text or "").encode()
         for i in range(len(t) - 20):
             first.setdefault(t[i : i + 21], r.doc_id)
-    got = {r.doc_id: r.n_removed for r in dedup_suffixes(docs.where("doc_id < 40").dropDuplicates(["doc_id"]), min_len=21, block_bytes=1 << 11).collect()}
-    for r in rows:
-        t = (r.text or "").encode()
-        gone = bytearray(len(t))
-        for i in range(len(t) - 20):
-            if first[t[i : i + 21]] < r.doc_id:
-                gone[i : i + 21] = b"\1" * 21
-        assert got[r.doc_id] == sum(gone)
+    for hot in (1, 30, 1 << 30):
+        got = {r.doc_id: r.n_removed for r in dedup_suffixes(docs.where("doc_id < 40").dropDuplicates(["doc_id"]), min_len=21, block_bytes=1 << 11, hot_windows=hot).collect()}
+        for r in rows:
+            t = (r.text or "").encode()
+            gone = bytearray(len(t))
+            for i in range(len(t) - 20):
+                if first[t[i : i + 21]] < r.doc_id:
+                    gone[i : i + 21] = b"\1" * 21
+            assert got[r.doc_id] == sum(gone)
 
 
 def test_window_dedup_matches_brute_force(docs):
@@ -91,6 +93,18 @@ def test_a_phrase_in_every_document_is_hot_and_spreads(spark):
     assert got == {**{i: 0 for i, _ in rows}, 3: 100, 90: 100}
 
 
+def test_hot_samples_are_found(spark):
+    r = random.Random(6)
+    say = lambda k: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    phrase = say(45)
+    rows = [(i, say(60) + phrase + say(60)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    hot = _hot_samples(df, "text", 50, 40 * 165, 300)
+    assert 0 < len(hot) < 4
+    for limit in (300, 1 << 30):
+        assert {x.n_removed for x in dedup_suffixes(df, hot_windows=limit, block_bytes=1 << 10).collect()} == {0}
+
+
 def test_exact_dedup(docs):
     rows = docs.collect()
     norm = [re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "") for r in rows]
