@@ -105,6 +105,17 @@ def test_urls(spark):
 # ---- toxicity --------------------------------------------------------------
 
 
+def test_url_vocabulary_is_a_parameter(spark):
+    rows = [(1, "http://a.b/Red-blue"), (2, "http://a.b/red/red"), (3, "http://a.b/STOP"), (4, "http://a.b/porn"), (5, None), (6, "x " * 50_000 + "stop"), (2, "http://a.b/red/red")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    terms = {"RED": 0.4, "red": 0.3, "blue": 0.6, "stop": 1.0}
+    got = Counter((r.page_id, r.verdict) for r in filter_urls(df, rules=(), vocabulary=terms).collect())
+    assert got == Counter([(1, "block"), (2, "allow"), (2, "allow"), (3, "block"), (4, "allow"), (5, "allow"), (6, "block")])
+    assert {r.verdict for r in filter_urls(df, rules=(), vocabulary={}).collect()} == {"allow"}
+    with pytest.raises(ValueError):
+        filter_urls(df, vocabulary={"": 1.0})
+
+
 def test_folding_and_exceptions():
     m = toxicity.Model(dict(toxicity.SEEDS))
     for t in ("you IDIOT", "you 1d1ot!", "you іdіоt", "you !diot", "such $cum", "ｉｄｉｏｔ", "ïdiot"):
