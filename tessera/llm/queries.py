@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, lang_id, packing, toxicity
+from tessera.llm.embedding_dedup import near_vectors
 from tessera.llm.exact_dedup import dedup_exact
 from tessera.llm.secret_scan import BASE, MORE, secrets_by_document
 from tessera.llm.simhash import simhash_groups
 from tessera.llm.substring_dedup import dedup_windows
 from tessera.llm.suffix_dedup import dedup_suffixes
+from tessera.llm.token_align import align
 from tessera.llm.url_filter import SOFT, STRICT, filter_urls
+from tessera.llm.whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -72,7 +75,29 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_windows(docs, window=35, with_text=False).drop("kept_text")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_toxicity, op4_url_filter, op5_lang_id, op6_simhash, op7_packing, op8_exact_dedup, op9_secret_scan, op10_substring_dedup)}
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), threshold=0.93)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), components=8)
+
+
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_suffix_dedup, op2_decontaminate, op3_toxicity, op4_url_filter, op5_lang_id, op6_simhash, op7_packing,
+        op8_exact_dedup, op9_secret_scan, op10_substring_dedup, op11_embedding_dedup, op12_whitening, op13_token_align,
+    )
+}
+
 
 def _hit(term: str) -> str:
     return f"regexp_matches(u, '(^|[^a-z0-9]){term}($|[^a-z0-9])')"
@@ -133,6 +158,16 @@ ORACLE: dict[str, str] = {
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM n""",
+    "op11_embedding_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        fit AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
+                WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: isfinite(x))) = len(e)),
+        link AS (SELECT a.vec_id AS s, b.vec_id AS d FROM fit a JOIN fit b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+                 WHERE a.norm > 0 AND b.norm > 0 AND list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
+        reach AS (SELECT vec_id AS s, vec_id AS d FROM v UNION SELECT reach.s, link.d FROM reach JOIN link ON reach.d = link.s),
+        least AS (SELECT s, min(d) AS component_id FROM reach GROUP BY s), n AS (SELECT s, count(*) AS n_links FROM link GROUP BY s)
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM v JOIN least ON least.s = vec_id LEFT JOIN n ON n.s = vec_id""",
     "op10_substring_dedup": r"""
         WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
         win AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 34), ' ') AS k
