@@ -6,9 +6,11 @@ or 1) and ``score``. Undefined metrics are null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.prefix import placed_rows, running_sums
+
 #: Bin edges as the doubles that an even division of [0, 1] gives.
 EDGES = tuple(i * 0.1 for i in range(11))
 
@@ -67,21 +69,15 @@ def confusion_matrix(df: DataFrame) -> DataFrame:
     return got.select(F.inline(rows))
 
 
-def score_steps(df: DataFrame, keys: list[str] = ()) -> DataFrame:
-    """One row per distinct score, with cumulative positives and negatives in falling order.
-
-    The window runs over distinct scores, which the aggregation has made few.
-    """
+def score_steps(df: DataFrame, keys: list[str] = (), totals: dict[str, str] | None = None) -> DataFrame:
+    """One row per distinct score, with cumulative positives and negatives in falling order (``running_sums`` over ranges of scores)."""
     by = df.groupBy(*keys, "score").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.sum((1 - F.col("y")).cast("long")).alias("neg"))
-    w = Window.partitionBy(*keys).orderBy(F.col("score").desc())
-    return by.withColumn("ctp", F.sum("pos").over(w)).withColumn("cfp", F.sum("neg").over(w))
+    return running_sums(by, F.col("score").desc(), {"pos": "ctp", "neg": "cfp"}, totals, keys)
 
 
 def ranking_metrics(df: DataFrame, keys: list[str] = ()) -> DataFrame:
     """pr_auc (average precision over score steps) and roc_auc (ties count half); null unless both classes occur."""
-    s = score_steps(df, keys)
-    totals = Window.partitionBy(*keys)
-    s = s.withColumn("np", F.sum("pos").over(totals)).withColumn("nn", F.sum("neg").over(totals))
+    s = score_steps(df, keys, {"pos": "np", "neg": "nn"})
     ap = F.sum(F.col("pos") / F.col("np") * F.col("ctp") / (F.col("ctp") + F.col("cfp")))
     # negatives below a step count whole, those on it half
     auc = F.sum(F.col("pos") * ((F.col("nn") - F.col("cfp")) + F.col("neg") / 2)) / (F.first("np") * F.first("nn"))
@@ -115,18 +111,16 @@ def ece(df: DataFrame, edges: tuple[float, ...] = EDGES) -> DataFrame:
 def equal_mass_bins(df: DataFrame, order: list[str], bins: int = 10) -> DataFrame:
     """``df`` with ``bin``: positions in score order divided into ``bins`` as even as can be.
 
-    The place of a row comes from counts of score groups and a window inside
-    each group, so no task sorts all rows. Sizes are those of an even split:
-    the first ``n mod bins`` bins have one row more.
+    Places come from ranges of (score, ``order``), so no task sorts all rows,
+    nor all rows of one score. Sizes are those of an even split: the first
+    ``n mod bins`` bins have one row more.
     """
-    steps = df.groupBy("score").agg(F.count("*").alias("m"))
-    before = steps.select("score", (F.sum("m").over(Window.orderBy("score")) - F.col("m")).alias("before"), F.sum("m").over(Window.partitionBy()).alias("n"))
-    placed = df.join(before, "score").withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy("score").orderBy(*order)) - 1)
-    k = F.least(F.lit(bins), F.col("n"))
-    base, extra = F.floor(F.col("n") / k), F.col("n") % k
+    placed = placed_rows(df, [F.col("score"), *map(F.col, order)], "_place", "_n")
+    k = F.least(F.lit(bins), F.col("_n"))
+    base, extra = F.floor(F.col("_n") / k), F.col("_n") % k
     head = extra * (base + 1)
-    b = F.when(F.col("place") < head, F.floor(F.col("place") / (base + 1))).otherwise(extra + F.floor((F.col("place") - head) / base))
-    return placed.withColumn("bin", b.cast("int")).drop("before", "place", "n")
+    b = F.when(F.col("_place") < head, F.floor(F.col("_place") / (base + 1))).otherwise(extra + F.floor((F.col("_place") - head) / base))
+    return placed.withColumn("bin", b.cast("int")).drop("_place", "_n")
 
 
 def adaptive_ece(df: DataFrame, order: list[str], bins: int = 10) -> DataFrame:
@@ -153,14 +147,24 @@ def threshold_for_coverage(df: DataFrame, coverage: float, column: str = "confid
 
     Found over counts of distinct values, so nothing is sorted row by row.
     """
-    by = df.groupBy(column).agg(F.count("*").alias("m"))
-    up = Window.orderBy(F.col(column).desc())
-    kept = by.select(column, F.sum("m").over(up).alias("kept"), F.sum("m").over(Window.partitionBy()).alias("n"))
     if coverage >= 1:
         return df.limit(1).select(F.lit(0.0).alias("threshold"))
+    by = df.groupBy(column).agg(F.count("*").alias("m"))
+    kept = running_sums(by, F.col(column).desc(), {"m": "kept"}, {"m": "n"})
     return kept.where(F.col("kept") >= F.ceil(F.lit(coverage) * F.col("n"))).agg(F.max(column).alias("threshold"))
 
 
+def risk_coverage(df: DataFrame, targets: list[float], column: str = "confidence") -> DataFrame:
+    """(i, coverage, risk) at the first step of falling ``column`` that keeps a share of ``targets`` or more; i counts the targets from 0."""
+    by = df.groupBy(column).agg(F.count("*").alias("m"), n_where(F.col("y") != F.col("p")).alias("e"))
+    steps = running_sums(by, F.col(column).desc(), {"m": "kept", "e": "errors"}, {"m": "n"})
+    t = df.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(targets)], "i int, target double")
+    # each target's first step, as the smallest of (kept, errors): one row a target and task before the exchange
+    met = steps.join(F.broadcast(t), F.col("kept") >= F.ceil(F.round(F.col("target") * F.col("n"), 9)))
+    first = met.groupBy("i").agg(F.min(F.struct("kept", "errors", "n")).alias("s"))
+    return first.select("i", F.round(F.col("s.kept") / F.col("s.n"), 6).alias("coverage"), F.round(F.col("s.errors") / F.col("s.kept"), 6).alias("risk"))
+
+
 def selective_result(df: DataFrame, threshold: float, decision: float = 0.5) -> DataFrame:
     """Quality of the rows kept at a confidence threshold, and what is put off."""
     keep = F.col("confidence") >= threshold
@@ -190,9 +194,8 @@ def threshold_table(df: DataFrame) -> DataFrame:
     steps = df.groupBy("score").agg(F.sum("y").cast("long").alias("pos"), F.count("*").alias("m"))
     extra = df.sparkSession.createDataFrame([(0.0, 0, 0), (0.5, 0, 0), (1.0, 0, 0)], "score double, pos long, m long")
     every = steps.unionByName(extra).groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("m").alias("m"))
-    down = Window.orderBy(F.col("score").desc())
-    all_ = Window.partitionBy()
-    t = every.select(F.col("score").alias("threshold"), F.sum("pos").over(down).alias("tp"), F.sum(F.col("m") - F.col("pos")).over(down).alias("fp"), F.sum("pos").over(all_).alias("np"), F.sum("m").over(all_).alias("n"))
+    t = running_sums(every, F.col("score").desc(), {"pos": "tp", "m": "above"}, {"pos": "np", "m": "n"})
+    t = t.select(F.col("score").alias("threshold"), "tp", (F.col("above") - F.col("tp")).alias("fp"), "np", "n")
     return t.select("threshold", "tp", "fp", (F.col("np") - F.col("tp")).alias("fn"), (F.col("n") - F.col("np") - F.col("fp")).alias("tn"))
 
 
@@ -238,7 +241,7 @@ def bootstrap_counts(df: DataFrame, group: str, replicates: int, seed: int) -> D
     return drawn.groupBy("replicate").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in ("tp", "fp", "fn", "tn")])
 
 
-def bootstrap_intervals(df: DataFrame, group: str, replicates: int = 200, seed: int = 613) -> DataFrame:
+def bootstrap_intervals(df: DataFrame, group: str, replicates: int = 1000, seed: int = 613) -> DataFrame:
     """Mean and 95 % percentile interval of four metrics over grouped replicates."""
     m = from_counts()
     names = ("macro_f1", "unreliable_f1", "unreliable_recall", "accuracy")
@@ -248,11 +251,19 @@ def bootstrap_intervals(df: DataFrame, group: str, replicates: int = 200, seed:
     return long.groupBy("metric").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(q[0], 6).alias("low"), F.round(q[1], 6).alias("high"))
 
 
-def paired_bootstrap(df: DataFrame, group: str, replicates: int = 200, seed: int = 613) -> DataFrame:
-    """Difference of macro-F1 between predictions ``pa`` and ``pb`` over the same draws."""
-    a = bootstrap_counts(df.withColumn("p", F.col("pa")), group, replicates, seed).select("replicate", from_counts()["macro_f1"].alias("a"))
-    b = bootstrap_counts(df.withColumn("p", F.col("pb")), group, replicates, seed).select("replicate", from_counts()["macro_f1"].alias("b"))
-    d = a.join(b, "replicate").select((F.col("a") - F.col("b")).alias("d"))
+def paired_bootstrap(df: DataFrame, group: str, replicates: int = 1000, seed: int = 613) -> DataFrame:
+    """Difference of macro-F1 between predictions ``pa`` and ``pb`` over the same draws; each group is drawn once for both."""
+    names = ("tp", "fp", "fn", "tn")
+    both = [F.coalesce(F.count_if((F.col("y") == y) & (F.col(p) == v)), F.lit(0)).alias(f"{n}_{p}") for p in ("pa", "pb") for n, y, v in zip(names, (1, 0, 1, 0), (1, 1, 0, 0), strict=True)]
+    per = df.groupBy(group).agg(*both).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    w = draw_count(seed, F.col("replicate"), F.col(group))
+    drawn = per.withColumn("w", w).groupBy("replicate").agg(*[F.sum(F.col(f"{n}_{p}") * F.col("w")).alias(f"{n}_{p}") for p in ("pa", "pb") for n in names])
+
+    def macro(p: str) -> Column:
+        tp, fp, fn, tn = (F.col(f"{n}_{p}") for n in names)
+        return (ratio(2 * tp, 2 * tp + fp + fn) + ratio(2 * tn, 2 * tn + fp + fn)) / 2
+
+    d = drawn.select((macro("pa") - macro("pb")).alias("d"))
     q = F.percentile("d", F.array(F.lit(0.025), F.lit(0.975)))
     return d.agg(F.round(F.avg("d"), 6).alias("mean"), F.round(q[0], 6).alias("low"), F.round(q[1], 6).alias("high"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators.graph import connected_components
 from tessera.operators.relational import join_groups
+from tessera.runtime import Workspace
 
 
 def family_group_id(url: Column, title: Column, text: Column) -> Column:
@@ -46,44 +47,96 @@ def key_edges(keys: DataFrame) -> DataFrame:
 
 
 def char_grams(title: Column, low: int = 3, high: int = 5) -> Column:
-    """Character n-grams inside words, words padded by a space."""
+    """Character n-grams inside words, words padded by a space; a padded word shorter than n has none of length n."""
     padded = F.transform(F.split(title, " "), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
     def of(w: Column, n: int) -> Column:
-        return F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - (n - 1), F.lit(1))), lambda i: F.substring(w, i, F.lit(n)))).otherwise(F.array(w))
+        return F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - (n - 1), F.lit(1))), lambda i: F.substring(w, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
     return F.flatten(F.transform(padded, lambda w: F.flatten(F.array(*[of(w, n) for n in range(low, high + 1)]))))
 
 
-def fuzzy_title_edges(df: DataFrame, *, threshold: float = 0.97, neighbours: int = 7, ratio: float = 0.85) -> DataFrame:
-    """(dataset, src, dst, similarity) of titles with a TF-IDF cosine of ``threshold`` over character n-grams.
+def title_vectors(titles: DataFrame) -> DataFrame:
+    """(dataset, id, times, g, x, place, left): unit TF-IDF weights of each title's n-grams.
 
-    Distinct titles are compared once. Candidates share one of a title's
-    rarest n-grams: with a cosine of c, two unit vectors must overlap inside
-    the prefix whose remaining weight is under c, so the prefix filter loses
-    nothing; only those pairs are scored on all n-grams.
+    n-grams of one record only are left out. ``place`` numbers a title's
+    n-grams from the rarest on (ties: by n-gram), the same order for all
+    titles; ``left`` is the squared weight from that place to the end.
     """
-    t = df.select("dataset", "record_id", T.normalized_text("title").alias("title"))
-    t = t.where((F.length("title") >= 30) & (F.size(F.split("title", " ")) >= 6))
-    titles = t.groupBy("dataset", "title").agg(F.min("record_id").alias("record_id"), F.count("*").alias("times"))
-    grams = titles.select("dataset", "record_id", "times", F.length("title").alias("len"), F.explode(char_grams(F.col("title"))).alias("g")).groupBy("dataset", "record_id", "times", "len", "g").agg(F.count("*").alias("tf"))
-    df_ = grams.groupBy("dataset", "g").agg(F.sum("times").alias("df")).where("df >= 2")  # over all records, whose titles may repeat
+    grams = titles.select("dataset", "id", "times", F.explode(char_grams(F.col("title"))).alias("g")).groupBy("dataset", "id", "times", "g").agg(F.count("*").alias("tf"))
+    known = grams.groupBy("dataset", "g").agg(F.sum("times").alias("df"), F.count("*").alias("m")).where("df >= 2")  # over all records, whose titles may repeat
     n = titles.groupBy("dataset").agg(F.sum("times").alias("n"))
-    v = grams.join(df_, ["dataset", "g"]).join(F.broadcast(n), "dataset").withColumn("x", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norm = Window.partitionBy("dataset", "record_id")
-    v = v.withColumn("x", F.col("x") / F.sqrt(F.sum(F.col("x") ** 2).over(norm)))
-    order = Window.partitionBy("dataset", "record_id").orderBy("df", "g")
-    left = 1 - F.sum(F.col("x") ** 2).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    v = v.withColumn("left", F.coalesce(left, F.lit(1.0)))
-    head = v.where(F.sqrt(F.greatest("left", F.lit(0.0))) >= threshold - 1e-9).select("dataset", "g", "record_id", "len")
-    a, b = head.alias("a"), head.alias("b")
-    near = (F.col("a.record_id") < F.col("b.record_id")) & (F.least("a.len", "b.len") >= ratio * F.greatest("a.len", "b.len"))
-    pairs = a.join(b, (F.col("a.dataset") == F.col("b.dataset")) & (F.col("a.g") == F.col("b.g")) & near).select("a.dataset", F.col("a.record_id").alias("src"), F.col("b.record_id").alias("dst")).distinct()
-    x, y = v.select("dataset", F.col("record_id").alias("src"), "g", F.col("x").alias("xa")), v.select("dataset", F.col("record_id").alias("dst"), "g", F.col("x").alias("xb"))
-    sim = pairs.join(x, ["dataset", "src"]).join(y, ["dataset", "dst", "g"]).groupBy("dataset", "src", "dst").agg(F.sum(F.col("xa") * F.col("xb")).alias("similarity")).where(F.col("similarity") >= threshold)
+    v = join_groups(grams, known, ["dataset", "g"], "m").where("df is not null").join(n, "dataset").withColumn("x", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    order = Window.partitionBy("dataset", "id").orderBy("df", "g")
+    whole = Window.partitionBy("dataset", "id")
+    square = F.col("x") * F.col("x")
+    v = v.withColumns({"all": F.sum(square).over(whole), "left": F.sum(square).over(order.rowsBetween(0, Window.unboundedFollowing)), "place": F.row_number().over(order)})
+    return v.select("dataset", "id", "times", "g", (F.col("x") / F.sqrt("all")).alias("x"), (F.col("left") / F.col("all")).alias("left"), "place")
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, block: int = 2000) -> DataFrame:
+    """(dataset, a, b), a < b: every pair of unit vectors whose dot product may reach ``threshold``, and few others.
+
+    Two vectors that reach it meet first on some n-gram; before it neither
+    side has weight that counts, so their product is at most the two weights
+    there and the product of what is left behind it. Hence the n-gram lies in
+    the prefix of either side in which ``left`` is the threshold's square or
+    more, and the bound holds there. Postings of an n-gram longer than
+    ``block`` are cut by record into blocks and meet block by block, so no task
+    holds more than two blocks of one n-gram.
+    """
+    least = threshold - 1e-9
+    head = vectors.where(F.col("left") >= least * least).select("dataset", "g", "id", "x", "left")
+    size = head.groupBy("dataset", "g").agg(F.count("*").alias("m")).where("m > 1")
+    posted = join_groups(head, size, ["dataset", "g"], "m").where("m is not null")
+    blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
+    posted = posted.withColumn("blk", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    posted = posted.select("dataset", "g", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk", "id", "x", (F.col("left") - F.col("x") * F.col("x")).alias("rest"))
+    keys = ["dataset", "g", "lo", "hi"]
+    a, b = (posted.withColumnsRenamed({"id": side, "blk": f"{side}_blk", "x": f"{side}_x", "rest": f"{side}_rest"}) for side in ("a", "b"))
+    bound = F.col("a_x") * F.col("b_x") + F.sqrt(F.greatest(F.col("a_rest"), F.lit(0.0)) * F.greatest(F.col("b_rest"), F.lit(0.0))) >= least
+    across = (F.col("lo") == F.col("hi")) | (F.col("a_blk") != F.col("b_blk"))
+    return a.join(b, keys).where(bound & across & (F.col("a") < F.col("b"))).select("dataset", "a", "b").distinct()
+
+
+def nearest(scored: DataFrame, slots: int) -> DataFrame:
+    """Of (dataset, src, dst, similarity, taken, times): the ``dst`` that begin within the ``slots`` nearest records of ``src``.
+
+    ``taken`` records equal ``src`` and come first; a ``dst`` of ``times``
+    equal records fills as many slots. At most ``slots`` rows of a ``src``
+    leave a task before the exchange.
+    """
     rank = Window.partitionBy("dataset", "src").orderBy(F.desc("similarity"), "dst")
-    kept = sim.withColumn("rn", F.row_number().over(rank)).where(F.col("rn") <= neighbours).drop("rn")
-    same = t.join(titles.select("dataset", "title", F.col("record_id").alias("dst")), ["dataset", "title"]).where("record_id <> dst").select("dataset", F.col("record_id").alias("src"), "dst", F.lit(1.0).alias("similarity"))
+    few = scored.withColumn("rn", F.row_number().over(rank)).where(F.col("rn") <= slots)
+    before = F.coalesce(F.sum("times").over(rank.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("taken")
+    return few.withColumn("before", before).where(F.col("before") < slots).drop("rn", "before")
+
+
+def fuzzy_title_edges(df: DataFrame, *, threshold: float = 0.97, neighbours: int = 7, ratio: float = 0.85, block: int = 2000) -> DataFrame:
+    """(dataset, src, dst, similarity), src < dst, of titles with a TF-IDF cosine of ``threshold`` over character n-grams.
+
+    A link stands if either title is among the ``neighbours`` nearest records
+    of the other (ties: smaller record first) and their lengths are in
+    ``ratio``; too short or long neighbours fill slots all the same. Distinct
+    titles, named by their least record, are compared once; records of one
+    title hang on it.
+    """
+    ws = Workspace(df.sparkSession)
+    t = df.select("dataset", "record_id", T.normalized_text("title").alias("title"))
+    t = ws.keep(t.where((F.length("title") >= 30) & (F.size(F.split("title", " ")) >= 6)), "titles")
+    titles = ws.keep(t.groupBy("dataset", "title").agg(F.min("record_id").alias("id"), F.count("*").alias("times")), "distinct")
+    v = ws.keep(title_vectors(titles), "vectors")
+    pairs = similar_pairs(v, threshold, block)
+    x = v.select("dataset", F.col("id").alias("a"), "g", F.col("x").alias("xa"))
+    y = v.select("dataset", F.col("id").alias("b"), "g", F.col("x").alias("xb"))
+    sim = pairs.join(x, ["dataset", "a"]).join(y, ["dataset", "b", "g"]).groupBy("dataset", "a", "b").agg(F.round(F.sum(F.col("xa") * F.col("xb")), 12).alias("similarity")).where(F.col("similarity") >= threshold)
+    sim = ws.keep(sim, "similar")
+    both = sim.select("dataset", F.col("a").alias("src"), F.col("b").alias("dst"), "similarity").union(sim.select("dataset", "b", "a", "similarity"))
+    own = titles.select("dataset", F.col("id").alias("src"), (F.col("times") - 1).alias("taken"), F.length("title").alias("l1"))
+    far = titles.select("dataset", F.col("id").alias("dst"), "times", F.length("title").alias("l2"))
+    kept = nearest(both.join(own, ["dataset", "src"]).join(far, ["dataset", "dst"]), neighbours)
+    kept = kept.where(F.least("l1", "l2") >= ratio * F.greatest("l1", "l2")).select("dataset", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "similarity").distinct()
+    same = join_groups(t, titles, ["dataset", "title"], "times").where("record_id <> id").select("dataset", F.col("id").alias("src"), F.col("record_id").alias("dst"), F.lit(1.0).alias("similarity"))
     return kept.unionByName(same)
 
 

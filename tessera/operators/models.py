@@ -1,9 +1,8 @@
-"""Linear text models over sparse vectors, selection on validation, calibration."""
+"""Linear models over sparse vectors, calibration, topics. Text models and their search are in ``linear``, rising fits in ``isotonic``."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,15 +26,6 @@ def fit_logistic(train: DataFrame, c: float = 1.0, max_iter: int = 100):
     return LogisticRegression(labelCol="y", weightCol="weight", regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-4).fit(w)
 
 
-def fit_svm(train: DataFrame, c: float = 1.0, max_iter: int = 100):
-    """Balanced linear machine with hinge loss (not squared hinge; its intercept is not penalised)."""
-    from pyspark.ml.classification import LinearSVC
-
-    w = with_balance(train)
-    total = w.agg(F.sum("weight")).first()[0]
-    return LinearSVC(labelCol="y", weightCol="weight", regParam=1.0 / (c * total), standardization=False, maxIter=max_iter, tol=1e-4).fit(w)
-
-
 def fit_majority(train: DataFrame):
     """The most frequent class (ties: the smaller)."""
     return train.groupBy("y").agg(F.count("*").alias("m")).orderBy(F.desc("m"), "y").first()["y"]
@@ -54,20 +44,6 @@ def macro_f1(pred: DataFrame) -> float:
     return pred.agg(*counts()).select(from_counts()["macro_f1"].alias("f")).first()["f"]
 
 
-def select_on_validation(train: DataFrame, validation: DataFrame, specs: list[dict]):
-    """(spec, model, score) with the best validation macro-F1; the earliest wins ties."""
-    best = None
-    for spec in specs:
-        if spec["model"] == "majority":
-            model = fit_majority(train)
-        else:
-            model = (fit_logistic if spec["model"] == "logistic_regression" else fit_svm)(train, spec["c"])
-        f = macro_f1(predict(model, validation))
-        if best is None or f > best[2]:
-            best = (spec, model, f)
-    return best
-
-
 def platt(df: DataFrame, rounds: int = 50) -> tuple[float, float]:
     """Intercept and slope of a logistic fit on the logit of the score.
 
@@ -89,30 +65,6 @@ def platt(df: DataFrame, rounds: int = 50) -> tuple[float, float]:
     return a, b
 
 
-def isotonic(df: DataFrame) -> pd.DataFrame:
-    """Steps of a rising fit of y on score by pooling neighbours, over counts of distinct scores.
-
-    Ranges of scores are pooled where they lie, which leaves the whole fit
-    unchanged; only their steps, which rise within each range, reach the driver.
-    """
-    names = ["from_score", "n", "value"]
-
-    def pooled(frames):
-        pool: list[list[float]] = []
-        for f in frames:
-            for s, n, m in f.itertuples(index=False):
-                pool.append([s, n, m])
-                while len(pool) > 1 and pool[-2][2] >= pool[-1][2]:
-                    s1, n1, m1 = pool.pop()
-                    s0, n0, m0 = pool.pop()
-                    pool.append([s0, n0 + n1, (n0 * m0 + n1 * m1) / (n0 + n1)])
-        yield pd.DataFrame(pool, columns=names).astype({"n": "int64"})
-
-    steps = df.groupBy(F.col("score").cast("double").alias("score")).agg(F.count("*").alias("n"), F.avg(F.col("y").cast("double")).alias("m"))
-    ranges = steps.repartitionByRange("score").sortWithinPartitions("score").mapInPandas(pooled, "from_score double, n long, value double")
-    return next(pooled([ranges.toPandas().sort_values("from_score")]))
-
-
 def isotonic_allowed(n: int, positives: int) -> bool:
     return n >= 1000 and min(positives, n - positives) >= 200
 

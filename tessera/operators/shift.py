@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.prefix import running_sums
+from tessera.runtime import Workspace
+
 MISSING = "(missing)"
 
 
@@ -20,8 +23,10 @@ def aligned(df: DataFrame, key: str, side: str) -> DataFrame:
 
 
 def with_shares(counts: DataFrame) -> DataFrame:
-    all_ = Window.partitionBy()
-    return counts.withColumn("ps", F.try_divide("s", F.sum("s").over(all_))).withColumn("pt", F.try_divide("t", F.sum("t").over(all_)))
+    """``counts`` (written once) with shares ps and pt of the two sides."""
+    kept = Workspace(counts.sparkSession).keep(counts, "counts")
+    total = kept.agg(F.sum("s").alias("s"), F.sum("t").alias("t")).first()
+    return kept.withColumn("ps", F.try_divide("s", F.lit(total["s"]))).withColumn("pt", F.try_divide("t", F.lit(total["t"])))
 
 
 def _kl(p: Column, m: Column) -> Column:
@@ -41,25 +46,24 @@ def tv_distance() -> Column:
 def ecdf(df: DataFrame, x: str) -> DataFrame:
     """Right-continuous distribution function at every value that occurs."""
     g = df.where(F.col(x).isNotNull()).groupBy(x).agg(F.count("*").alias("m"))
-    return g.withColumn("f", F.sum("m").over(Window.orderBy(x)) / F.sum("m").over(Window.partitionBy())).drop("m")
+    return running_sums(g, F.col(x).asc(), {"m": "_up"}, {"m": "_n"}).select(x, (F.col("_up") / F.col("_n")).alias("f"))
 
 
 def ks_statistic(df: DataFrame, x: str, side: str) -> DataFrame:
     """Largest gap between the two distribution functions; non-finite values are left out."""
     v = F.col(x).cast("double")
     d = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    up = Window.orderBy(x)
-    g = aligned(d, x, side)
-    all_ = Window.partitionBy()
-    gap = F.abs(F.try_divide(F.sum("s").over(up), F.sum("s").over(all_)) - F.try_divide(F.sum("t").over(up), F.sum("t").over(all_)))
+    g = running_sums(aligned(d, x, side), F.col(x).asc(), {"s": "us", "t": "ut"}, {"s": "ns", "t": "nt"})
+    gap = F.abs(F.try_divide("us", "ns") - F.try_divide("ut", "nt"))
     return g.select(gap.alias("gap")).agg(F.max("gap").alias("ks"))
 
 
 def smd(x: str, side: str) -> Column:
-    """Standardised mean difference (target less source); 0 for equal constants, null for differing ones or fewer than two values."""
+    """Mean difference (target less source) over the pooled sample deviation; 0 for equal constants, null for differing ones or fewer than two finite values."""
     v = F.col(x).cast("double")
+    v = F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
     s, t = F.when(F.col(side) == 0, v), F.when(F.col(side) == 1, v)
-    pooled = F.sqrt((F.var_samp(s) + F.var_samp(t)) / 2)
+    pooled = F.sqrt(((F.count(s) - 1) * F.var_samp(s) + (F.count(t) - 1) * F.var_samp(t)) / (F.count(s) + F.count(t) - 2))
     gap = F.avg(t) - F.avg(s)
     return F.when((F.count(s) < 2) | (F.count(t) < 2), None).when(pooled == 0, F.when(gap == 0, 0.0)).otherwise(gap / pooled)
 
@@ -76,7 +80,6 @@ def categorical_shift(df: DataFrame, key: str, side: str) -> DataFrame:
     """One row: distances, overlap, concentration and missing share of two category distributions."""
     c = with_shares(aligned(df.withColumn("k", coded(F.col(key))), "k", side))
     both = (F.col("s") > 0) & (F.col("t") > 0)
-    top = lambda p, n: F.aggregate(F.slice(F.sort_array(F.collect_list(p), asc=False), 1, n), F.lit(0.0), lambda a, x: a + x)
     return c.agg(
         F.count("*").alias("categories"), F.count_if(F.col("s") > 0).alias("source_categories"), F.count_if(F.col("t") > 0).alias("target_categories"),
         F.round(F.count_if(both) / F.count("*"), 6).alias("jaccard"),

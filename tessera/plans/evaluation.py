@@ -107,15 +107,8 @@ def selective_result(spark, sf):
 
 @query("risk_coverage_curve", f"WITH {PREDS}, c AS (SELECT y, p, {CONF} AS confidence FROM preds), g AS (SELECT confidence, count(*) AS m, count(*) FILTER (WHERE y <> p) AS e FROM c GROUP BY 1), k AS (SELECT confidence, sum(m) OVER (ORDER BY confidence DESC) AS kept, sum(e) OVER (ORDER BY confidence DESC) AS err, sum(m) OVER () AS n FROM g), t AS (SELECT unnest(generate_series(2, 20)) AS i) SELECT CAST(i AS INTEGER) AS target, round(min(1.0 * kept / n), 6) AS coverage, round(1.0 * min(err) / min(kept), 6) AS risk FROM t JOIN k ON kept >= ceil(i * n / 20.0) GROUP BY 1")
 def risk_coverage_curve(spark, sf):
-    from pyspark.sql import Window as W
-
-    c = with_confidence(spark, sf)
-    g = c.groupBy("confidence").agg(F.count("*").alias("m"), F.count_if(F.col("y") != F.col("p")).alias("e"))
-    down = W.orderBy(F.desc("confidence"))
-    k = g.select(F.sum("m").over(down).alias("kept"), F.sum("e").over(down).alias("err"), F.sum("m").over(W.partitionBy()).alias("n"))
-    t = spark.range(2, 21).select(F.col("id").cast("int").alias("target"))
-    j = k.join(F.broadcast(t), F.col("kept") >= F.ceil(F.col("target") * F.col("n") / 20.0))
-    return j.groupBy("target").agg(F.round(F.min(F.col("kept") / F.col("n")), 6).alias("coverage"), F.round(F.min("err") / F.min("kept"), 6).alias("risk"))
+    got = E.risk_coverage(with_confidence(spark, sf), [i / 20 for i in range(2, 21)])
+    return got.select((F.col("i") + 2).alias("target"), "coverage", "risk")
 
 
 @query("confidence_histogram", f"WITH {PREDS}, c AS (SELECT {CONF} AS confidence FROM preds) SELECT CAST(least(floor((round(confidence, 9) - 0.5) * 20), 9) AS INTEGER) AS bin, count(*) AS n FROM c GROUP BY 1")
@@ -166,7 +159,7 @@ def draws(replicate: str, unit: str) -> str:
     return "CASE " + " ".join(f"WHEN {u} < {c!r}e0 THEN {k}" for k, c in enumerate(_CUM)) + " ELSE 8 END"
 
 
-BOOT = f"""g AS (SELECT grp, {COUNTS} FROM preds GROUP BY 1), d AS (SELECT r, g.*, {draws('r', 'grp')} AS w FROM g CROSS JOIN (SELECT unnest(generate_series(0, 199)) AS r)),
+BOOT = f"""g AS (SELECT grp, {COUNTS} FROM preds GROUP BY 1), d AS (SELECT r, g.*, {draws('r', 'grp')} AS w FROM g CROSS JOIN (SELECT unnest(generate_series(0, 999)) AS r)),
     c AS (SELECT r, sum(tp * w) AS tp, sum(fp * w) AS fp, sum(fn * w) AS fn, sum(tn * w) AS tn FROM d GROUP BY 1),
     m AS (SELECT ({F1} + {F0}) / 2 AS macro_f1, {F1} AS unreliable_f1, {R('tp', 'tp + fn')} AS unreliable_recall, 1.0 * (tp + tn) / (tp + fp + fn + tn) AS accuracy FROM c WHERE tp + fp + fn + tn > 0)"""
 INTERVAL = "round(avg({0}), 6) AS mean, round(quantile_cont(CAST({0} AS DOUBLE), 0.025), 6) AS low, round(quantile_cont(CAST({0} AS DOUBLE), 0.975), 6) AS high"
@@ -174,12 +167,26 @@ INTERVAL = "round(avg({0}), 6) AS mean, round(quantile_cont(CAST({0} AS DOUBLE),
 
 @query("bootstrap_intervals", f"WITH {PREDS}, {BOOT} " + " UNION ALL ".join(f"SELECT '{k}' AS metric, {INTERVAL.format(k)} FROM m" for k in ("macro_f1", "unreliable_f1", "unreliable_recall", "accuracy")))
 def bootstrap_intervals(spark, sf):
-    return E.bootstrap_intervals(predictions(spark, sf), "grp", 200)
+    return E.bootstrap_intervals(predictions(spark, sf), "grp", 1000)
+
+
+def _side(p: str, of: str) -> str:
+    c = lambda y, v: f"count(*) FILTER (WHERE y = {y} AND {p} = {v})"
+    return f"{c(1, 1)} AS tp{of}, {c(0, 1)} AS fp{of}, {c(1, 0)} AS fn{of}, {c(0, 0)} AS tn{of}"
+
+
+def _macro(of: str) -> str:
+    f = lambda hit: f"CASE WHEN 2 * {hit}{of} + fp{of} + fn{of} = 0 THEN 0 ELSE 2.0e0 * {hit}{of} / (2 * {hit}{of} + fp{of} + fn{of}) END"
+    return f"({f('tp')} + {f('tn')}) / 2"
+
+
+PAIRED = f"""WITH {KEYED}, g AS (SELECT grp, {_side('pa', '1')}, {_side('pb', '2')} FROM keyed GROUP BY 1), w AS (SELECT r, g.*, {draws('r', 'grp')} AS w FROM g CROSS JOIN (SELECT unnest(generate_series(0, 999)) AS r)),
+    c AS (SELECT r, {', '.join(f'sum({x}{k} * w) AS {x}{k}' for x in ('tp', 'fp', 'fn', 'tn') for k in (1, 2))} FROM w GROUP BY 1), d AS (SELECT {_macro('1')} - {_macro('2')} AS d FROM c)"""
 
 
-@query("paired_bootstrap")
+@query("paired_bootstrap", f"{PAIRED} SELECT round(avg(d), 6) AS mean, round(quantile_cont(CAST(d AS DOUBLE), 0.025), 6) AS low, round(quantile_cont(CAST(d AS DOUBLE), 0.975), 6) AS high FROM d")
 def paired_bootstrap(spark, sf):
-    return E.paired_bootstrap(keyed(spark, sf), "grp", 50)
+    return E.paired_bootstrap(keyed(spark, sf), "grp", 1000)
 
 
 @query("paired_difference_checked")
@@ -187,7 +194,7 @@ def paired_difference_checked(spark, sf):
     from tessera.operators.study import paired_difference
 
     k = keyed(spark, sf)
-    return paired_difference(k.select("record_id", "y", F.col("pa").alias("p")), k.select("record_id", "y", F.col("pb").alias("p")), k, 50)
+    return paired_difference(k.select("record_id", "y", F.col("pa").alias("p")), k.select("record_id", "y", F.col("pb").alias("p")), k, 1000)
 
 
 RUNS = f"{KEYED}, runs AS (SELECT dataset, CASE WHEN record_id % 2 = 0 THEN 'a' ELSE 'b' END AS model, grp % 3 AS seed, round(avg(score_a - score_b), 6) AS difference FROM keyed GROUP BY 1, 2, 3)"
@@ -202,13 +209,13 @@ def equivalence_test(spark, sf):
 
 # ---- shift ----------------------------------------------------------------
 
-SIDES = "sides AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS side, l_shipmode_key AS k FROM (SELECT l_returnflag, CAST(l_partkey % 17 AS VARCHAR) AS l_shipmode_key FROM lineitem WHERE l_returnflag = 'R' OR l_partkey % 3 > 0))"
+SIDES = "sides AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS side, CAST(l_partkey % 17 AS VARCHAR) AS k FROM lineitem)"
 SHARES = f"WITH {SIDES}, c AS (SELECT k, count(*) FILTER (WHERE side = 0) AS s, count(*) FILTER (WHERE side = 1) AS t FROM sides GROUP BY 1), p AS (SELECT k, s, t, 1.0e0 * s / sum(s) OVER () AS ps, 1.0e0 * t / sum(t) OVER () AS pt FROM c)"
 JS = "round(sum(0.5 * CASE WHEN ps > 0 THEN ps * log2(ps / ((ps + pt) / 2)) ELSE 0 END + 0.5 * CASE WHEN pt > 0 THEN pt * log2(pt / ((ps + pt) / 2)) ELSE 0 END), 6)"
 
 
 def sides(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_returnflag = 'R' OR l_partkey % 3 > 0")
+    li = table(spark, sf, "lineitem")
     return li.select(F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("side"), (F.col("l_partkey") % 17).cast("string").alias("k"), "l_quantity", "l_extendedprice")
 
 
@@ -228,7 +235,7 @@ def ks_statistic(spark, sf):
     return S.ks_statistic(d, "x", "side").select(F.round("ks", 6).alias("ks"))
 
 
-@query("smd", "WITH d AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS side, l_extendedprice AS x FROM lineitem) SELECT round((avg(x) FILTER (WHERE side = 1) - avg(x) FILTER (WHERE side = 0)) / sqrt((var_samp(x) FILTER (WHERE side = 0) + var_samp(x) FILTER (WHERE side = 1)) / 2), 6) AS smd FROM d")
+@query("smd", "WITH d AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS side, l_extendedprice AS x FROM lineitem) SELECT round((avg(x) FILTER (WHERE side = 1) - avg(x) FILTER (WHERE side = 0)) / sqrt(((count(*) FILTER (WHERE side = 0) - 1) * var_samp(x) FILTER (WHERE side = 0) + (count(*) FILTER (WHERE side = 1) - 1) * var_samp(x) FILTER (WHERE side = 1)) / (count(*) - 2)), 6) AS smd FROM d")
 def smd(spark, sf):
     return table(spark, sf, "lineitem").select(F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("side"), F.col("l_extendedprice").alias("x")).agg(F.round(S.smd("x", "side"), 6).alias("smd"))
 

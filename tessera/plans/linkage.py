@@ -9,6 +9,7 @@ from tessera.operators import linkage as L
 from tessera.operators import splits as P
 from tessera.plans.adapters import ASSIGNMENTS, ITEMS, KEYED, TITLES, assignments, items, keyed, table, titles
 from tessera.plans.registry import query
+from tessera.runtime import Workspace
 
 NORM = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 KEYS = f"""{TITLES}, r AS (SELECT CAST(page_id AS VARCHAR) AS record_id, {NORM.format("replace(title, '&amp;', '&')")} AS t FROM titles),
@@ -24,9 +25,20 @@ def family_exact_keys(spark, sf):
     return L.exact_keys(records(spark, sf)).select("record_id", "key")
 
 
-@query("family_fuzzy_edges")
+_GRAMS = " UNION ALL ".join(f"SELECT id, times, substr(w, i, {n}) AS g FROM (SELECT id, times, w, unnest(generate_series(1, length(w) - {n - 1})) AS i FROM words WHERE length(w) >= {n})" for n in (3, 4, 5))
+_FUZZY = f"""WITH {TITLES}, r AS (SELECT CAST(page_id AS VARCHAR) AS record_id, {NORM.format("replace(title, '&amp;', '&')")} AS t FROM titles),
+    fit AS (SELECT * FROM r WHERE length(t) >= 30 AND len(string_split(t, ' ')) >= 6), d AS (SELECT t, min(record_id) AS id, count(*) AS times FROM fit GROUP BY 1),
+    words AS (SELECT id, times, concat(' ', unnest(string_split(t, ' ')), ' ') AS w FROM d), grams AS (SELECT id, times, g, count(*) AS tf FROM ({_GRAMS}) GROUP BY 1, 2, 3),
+    known AS (SELECT g, sum(times) AS df FROM grams GROUP BY 1 HAVING sum(times) >= 2), x AS (SELECT id, g, tf * (ln((1e0 + (SELECT sum(times) FROM d)) / (1 + df)) + 1) AS x FROM grams JOIN known USING (g)),
+    v AS (SELECT id, g, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM x), sim AS (SELECT a.id AS src, b.id AS dst, round(sum(a.x * b.x), 12) AS similarity FROM v a JOIN v b ON a.g = b.g AND a.id <> b.id GROUP BY 1, 2 HAVING round(sum(a.x * b.x), 12) >= 0.97),
+    near AS (SELECT sim.*, s.times - 1 + coalesce(sum(e.times) OVER (PARTITION BY src ORDER BY similarity DESC, dst ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, length(s.t) AS l1, length(e.t) AS l2 FROM sim JOIN d s ON s.id = src JOIN d e ON e.id = dst)
+    SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst, round(similarity, 9) AS similarity FROM near WHERE before < 7 AND least(l1, l2) >= 0.85 * greatest(l1, l2)
+    UNION ALL SELECT d.id, fit.record_id, 1.0 FROM fit JOIN d ON fit.t = d.t WHERE fit.record_id <> d.id"""
+
+
+@query("family_fuzzy_edges", _FUZZY)
 def family_fuzzy_edges(spark, sf):
-    return L.fuzzy_title_edges(records(spark, sf))
+    return L.fuzzy_title_edges(records(spark, sf)).select("src", "dst", F.round("similarity", 9).alias("similarity"))
 
 
 DOC_KEYS = f"{ITEMS}, h AS (SELECT record_id, dataset, substr(sha1({NORM.format('body_text')}), 1, 16) AS g FROM items)"
@@ -34,7 +46,7 @@ DOC_KEYS = f"{ITEMS}, h AS (SELECT record_id, dataset, substr(sha1({NORM.format(
 
 @query("family_components", f"WITH {DOC_KEYS}, f AS (SELECT record_id, dataset, min(record_id) OVER (PARTITION BY dataset, g) AS root FROM h) SELECT dataset, record_id, concat('family_', substr(sha1(concat(dataset, '||', root)), 1, 16)) AS family_group, count(*) OVER (PARTITION BY dataset, root) AS family_size FROM f")
 def family_components(spark, sf):
-    d = items(spark, sf).select("dataset", "record_id", T.normalized_text_hash("body_text").alias("key"))
+    d = Workspace(spark).keep(items(spark, sf).select("dataset", "record_id", T.normalized_text_hash("body_text").alias("key")), "hashed")
     return L.families(d, L.key_edges(d))
 
 
@@ -71,6 +83,7 @@ def components_chain(spark, sf):
 )
 def apply_quality_rules(spark, sf):
     d = items(spark, sf).select("dataset", "record_id", "harmonized_label", T.normalized_text_hash("body_text").alias("duplicate_group"), F.lit("").alias("exclusion_reason"))
+    d = Workspace(spark).keep(d, "hashed")  # the rules read it several times
     return L.apply_quality_rules(d).select("record_id", "exclusion_reason")
 
 
@@ -124,14 +137,25 @@ def split_score(spark, sf):
     return P.split_score(m, P.SplitSettings()).select(F.round("score", 6).alias("score"))
 
 
-@query("split_group_disjoint")
+_TRIED = f"""WITH {ROSTER}, per AS (SELECT grp, concat(text_unit, '__', harmonized_label) AS st, count(*) AS n FROM roster GROUP BY 1, 2),
+    m AS (SELECT a, {_BY.format(u="u")} AS split, st, n FROM (SELECT a, st, n, CAST(concat('0x', substr(sha1(concat(CAST(613 + a AS VARCHAR), '|', CAST(grp AS VARCHAR))), 1, 8)) AS BIGINT) / 4294967296.0e0 AS u FROM per CROSS JOIN (SELECT unnest(generate_series(0, 499)) AS a))),
+    s AS (SELECT unnest(['train', 'validation', 'test']) AS split, unnest([0.6, 0.2, 0.2]) AS target), o AS (SELECT st, 1.0e0 * sum(n) / (SELECT sum(n) FROM per) AS share FROM per GROUP BY 1), z AS (SELECT a, split, sum(n) AS n FROM m GROUP BY 1, 2), c AS (SELECT a, split, st, sum(n) AS n FROM m GROUP BY 1, 2, 3),
+    gap AS (SELECT z.a, z.split, sum(abs(coalesce(1.0e0 * c.n / z.n, 0) - o.share)) AS g FROM z CROSS JOIN o LEFT JOIN c ON c.a = z.a AND c.split = z.split AND c.st = o.st GROUP BY 1, 2),
+    scored AS (SELECT z.a, sum(abs(1.0e0 * z.n / (SELECT sum(n) FROM per) - s.target) + gap.g) AS score FROM s JOIN z ON s.split = z.split JOIN gap ON gap.a = z.a AND gap.split = s.split GROUP BY 1)"""
+
+
+@query(
+    "split_group_disjoint",
+    f"""{_TRIED}, best AS (SELECT a FROM scored ORDER BY round(score, 9), a LIMIT 1)
+    SELECT record_id, {_BY.format(u="u")} AS split FROM (SELECT record_id, CAST(concat('0x', substr(sha1(concat(CAST(613 + a AS VARCHAR), '|', CAST(grp AS VARCHAR))), 1, 8)) AS BIGINT) / 4294967296.0e0 AS u FROM roster CROSS JOIN best)""",
+)
 def split_group_disjoint(spark, sf):
-    return P.group_disjoint_split(roster(spark, sf), "grp", 20).select("record_id", "split")
+    return P.group_disjoint_split(roster(spark, sf), "grp", 500).select("record_id", "split")
 
 
-@query("split_repeats")
+@query("split_repeats", f"{_TRIED} SELECT CAST(a AS INTEGER) AS attempt, round(score, 6) AS score FROM scored")
 def split_repeats(spark, sf):
-    return P.group_disjoint_attempts(roster(spark, sf), "grp", 20).select("attempt", F.round("score", 6).alias("score"))
+    return P.group_disjoint_attempts(roster(spark, sf), "grp", 100, repeats=5).select("attempt", F.round("score", 6).alias("score"))
 
 
 @query(

@@ -8,7 +8,7 @@ from tessera.operators import experiments as E
 from tessera.operators import explain as X
 from tessera.operators import features as V
 from tessera.operators import models as M
-from tessera.plans.adapters import KEYED, PREDS, engagement, items, keyed, predictions, table
+from tessera.plans.adapters import ITEMS, KEYED, PREDS, engagement, items, keyed, predictions, table
 from tessera.plans.registry import query
 
 TOK = "tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents), tc AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2)"
@@ -122,20 +122,38 @@ def linear_svm(spark, sf):
 @query("select_on_validation")
 def select_on_validation(spark, sf):
     train, validation, test = parts(labelled(spark, sf))
-    specs = [dict(model="majority"), *(E.PLAIN | dict(representation=r) for r in V.grid()[:2])]
-    got, _ = E.select_on_validation(train, validation, specs)
+    got, _ = E.select_on_validation(train, validation, V.candidates())
     return got.predict(test).withColumn("model", F.lit(got.spec["model"]))
 
 
+@query("tuning_report")
+def tuning_report(spark, sf):
+    train, validation, _ = parts(labelled(spark, sf))
+    specs = V.candidates()
+    return E.tuning_report(spark, specs, E.search(train, validation, specs)[0])
+
+
+def controlled(spark, sf):
+    """Labelled documents in groups of fifty neighbouring ids, for group-disjoint allocations."""
+    d = labelled(spark, sf).drop("split")
+    return d.withColumns({"grp": F.floor(F.col("grp") / 50), "harmonized_label": F.when(F.col("y") == 1, "unreliable").otherwise("reliable"), "text_unit": F.when(F.col("n_chars") < 1000, "claim").otherwise("article")})
+
+
 @query("text_baseline_matrix")
 def text_baseline_matrix(spark, sf):
-    return E.baseline_matrix({"standard": labelled(spark, sf)}, [dict(model="majority"), E.PLAIN, E.PLAIN | dict(model="linear_svm")])
+    from tessera.operators.splits import group_disjoint_split
+
+    return E.baseline_matrix({"standard": labelled(spark, sf), "group_disjoint": group_disjoint_split(controlled(spark, sf), "grp", 500)}, V.candidates())
 
 
 @query("repeat_sensitivity")
 def repeat_sensitivity(spark, sf):
-    d = labelled(spark, sf).drop("split").withColumn("harmonized_label", F.when(F.col("y") == 1, "unreliable").otherwise("reliable")).withColumn("text_unit", F.lit("article"))
-    return E.repeat_sensitivity(d, "grp", repeats=2, attempts=5)
+    return E.repeat_sensitivity(controlled(spark, sf), "grp", repeats=10, attempts=100)
+
+
+@query("repeat_summary")
+def repeat_summary(spark, sf):
+    return E.repeat_summary(repeat_sensitivity(spark, sf))
 
 
 @query("transfer_run")
@@ -144,6 +162,11 @@ def transfer_run(spark, sf):
     return E.transfer_run(d.where("dataset = 'en'"), d.where("dataset <> 'en'"), "domain")
 
 
+@query("transfer_summary")
+def transfer_summary(spark, sf):
+    return E.transfer_summary(transfer_run(spark, sf))
+
+
 @query("engagement_ablation")
 def engagement_ablation(spark, sf):
     e = engagement(spark, sf).groupBy(F.col("user_id").alias("grp")).agg(*[F.sum(c).alias(c) for c in ("tweet_count", "reply_count", "retweet_count")])
@@ -157,9 +180,16 @@ def calibrator_platt(spark, sf):
     return spark.createDataFrame([(round(a, 6), round(b, 6))], "intercept double, slope double")
 
 
-@query("calibrator_isotonic")
+@query(
+    "calibrator_isotonic",
+    f"""WITH {PREDS}, g AS (SELECT score, count(*) AS n, sum(y) AS k FROM preds GROUP BY 1), r AS (SELECT a.score AS lo, b.score AS hi, 1.0e0 * sum(g.k) / sum(g.n) AS v FROM g a JOIN g b ON a.score <= b.score JOIN g ON g.score BETWEEN a.score AND b.score GROUP BY 1, 2),
+    low AS (SELECT g.score, r.lo, min(r.v) AS v FROM g JOIN r ON r.lo <= g.score AND r.hi >= g.score GROUP BY 1, 2), fit AS (SELECT score, max(v) AS v FROM low GROUP BY 1)
+    SELECT min(fit.score) AS from_score, CAST(sum(n) AS BIGINT) AS n, v AS value FROM (SELECT score, round(v, 9) AS v FROM fit) fit JOIN g ON g.score = fit.score GROUP BY v""",
+)
 def calibrator_isotonic(spark, sf):
-    return spark.createDataFrame(M.isotonic(predictions(spark, sf)))
+    from tessera.operators.isotonic import isotonic
+
+    return isotonic(predictions(spark, sf)).withColumn("value", F.round("value", 9))
 
 
 @query("bertopic_clusters")
@@ -188,20 +218,127 @@ def topic_proxy(spark, sf):
     from tessera.operators.topics import topic_proxy
 
     d = items(spark, sf).select("record_id", F.when(F.col("dataset") == "en", 0).otherwise(1).alias("side"), F.col("body_text").alias("text"))
-    mixtures, _ = topic_proxy(d, "side", topics=5, max_features=2000, rounds=6)
+    mixtures, _ = topic_proxy(d, "side")
     return topic_mix(mixtures, "weights", "side")
 
 
+def cohorts(spark, sf):
+    """Source: English documents; target: the others. Titles are the first words, domains a source's sections, few of which both have."""
+    d = items(spark, sf).withColumns({"model_text": F.col("body_text"), "title": F.substring("body_text", 1, 80), "publisher_id": F.col("source_name"), "source_domain": F.concat_ws("-", "source_name", F.when(F.col("dataset") == "en", F.col("doc_id") % 40).otherwise(F.col("doc_id") % 90))})
+    return d.where("dataset = 'en'"), d.where("dataset <> 'en'")
+
+
+def bundle(spark, sf, **options):
+    from tessera.operators.bundle import shift_bundle
+
+    source, target = cohorts(spark, sf)
+    return shift_bundle(source, target, source, source_name="en", target_name="other", **options)
+
+
+# the same sides and counts in SQL: x marks target records on a domain of the source
+_COHORTS = f"""{ITEMS}, c AS (SELECT record_id, harmonized_label, text_unit, source_name AS publisher_id, concat(source_name, '-', CAST(CASE WHEN dataset = 'en' THEN doc_id % 40 ELSE doc_id % 90 END AS VARCHAR)) AS source_domain, body_text AS model_text, substr(body_text, 1, 80) AS title, dataset = 'en' AS src FROM items),
+    r AS (SELECT *, CASE WHEN src THEN 0 WHEN source_domain IN (SELECT source_domain FROM c WHERE src) THEN 2 ELSE 1 END AS side FROM c), sizes AS (SELECT count(*) FILTER (WHERE side = 0) AS ns, count(*) FILTER (WHERE side = 1) AS nt, count(*) FILTER (WHERE side = 2) AS nx FROM r)"""
+_CATS = f"""{_COHORTS}, cat AS (SELECT field, coalesce(nullif(trim(value), ''), '(missing)') AS value, side FROM (SELECT side, unnest(['harmonized_label', 'text_unit', 'publisher_id', 'source_domain']) AS field, unnest([harmonized_label, text_unit, publisher_id, source_domain]) AS value FROM r)),
+    k AS (SELECT field, value, count(*) FILTER (WHERE side = 0) AS s, count(*) FILTER (WHERE side = 1) AS t, count(*) FILTER (WHERE side = 2) AS x FROM cat GROUP BY 1, 2)"""
+_WORDS = f"""{_COHORTS}, w AS (SELECT side, unnest(['full_text', 'title_only']) AS text_representation, unnest([regexp_extract_all(lower(model_text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_]{{2,}}')]) AS ws FROM r WHERE side < 2)"""
+_TERMS = f"""{_WORDS}, n AS (SELECT text_representation, term, count(*) FILTER (WHERE side = 0) AS s, count(*) FILTER (WHERE side = 1) AS t FROM (SELECT side, text_representation, unnest(ws) AS term FROM w) GROUP BY 1, 2),
+    top AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY text_representation ORDER BY s + t DESC, term) <= 20000),
+    p AS (SELECT *, sum(s) OVER g AS ss, sum(t) OVER g AS tt, count(*) OVER g AS v, 1e0 * s / sum(s) OVER g AS ps, 1e0 * t / sum(t) OVER g AS pt FROM top WINDOW g AS (PARTITION BY text_representation))"""
+_JS = "round(sum(0.5 * CASE WHEN ps > 0 THEN ps * log2(ps / ((ps + pt) / 2)) ELSE 0 END + 0.5 * CASE WHEN pt > 0 THEN pt * log2(pt / ((ps + pt) / 2)) ELSE 0 END), 6)"
+_DIR = "'en_to_other' AS direction"
+
+
+def _profile_row(cohort: str, dataset: str, side: str, total: str) -> str:
+    label = lambda v: f"CAST(coalesce(sum(CASE WHEN field = 'harmonized_label' AND value = '{v}' THEN {side} END), 0) AS BIGINT)"
+    has = lambda f: f"count(*) FILTER (WHERE field = '{f}' AND {side} > 0)"
+    return f"SELECT {_DIR}, '{cohort}' AS cohort, '{dataset}' AS dataset, (SELECT {total} FROM sizes) AS records, {label('reliable')} AS reliable_records, {label('unreliable')} AS unreliable_records, round({label('unreliable')} * 1e0 / (SELECT {total} FROM sizes), 6) AS unreliable_prevalence, {has('text_unit')} AS text_units, {has('publisher_id')} AS publishers, {has('source_domain')} AS source_domains FROM k"
+
+
+@query("shift_cohort_profiles", f"WITH {_CATS} " + " UNION ALL ".join((_profile_row("source_train", "en", "s", "ns"), _profile_row("target_test_before_domain_exclusion", "other", "(t + x)", "(nt + nx)"), _profile_row("target_test_after_domain_exclusion", "other", "t", "nt"))))
+def shift_cohort_profiles(spark, sf):
+    return bundle(spark, sf)["cohort_profiles"]
+
+
+@query(
+    "shift_domain_exclusion",
+    f"""WITH {_CATS}, d AS (SELECT * FROM k WHERE field = 'source_domain') SELECT {_DIR}, (SELECT count(*) FROM d WHERE s > 0 AND value <> '(missing)') AS source_domain_reference_count, (SELECT nt + nx FROM sizes) AS target_records_before_exclusion, (SELECT nt FROM sizes) AS target_records_after_exclusion, (SELECT nx FROM sizes) AS target_records_removed,
+    round((SELECT 1e0 * nx / (nt + nx) FROM sizes), 6) AS target_record_removal_share, count(*) FILTER (WHERE t + x > 0) AS target_domains_before_exclusion, count(*) FILTER (WHERE t > 0) AS target_domains_after_exclusion, count(*) FILTER (WHERE x > 0) AS target_domains_removed, CAST(0 AS BIGINT) AS remaining_target_records_on_exclusion_domains FROM d""",
+)
+def shift_domain_exclusion(spark, sf):
+    return bundle(spark, sf)["domain_exclusion_summary"]
+
+
+@query(
+    "shift_vocabulary_summary",
+    f"""WITH {_TERMS} SELECT {_DIR}, text_representation, count(*) AS retained_vocabulary_terms, CAST(max(ss) AS BIGINT) AS source_retained_tokens, CAST(max(tt) AS BIGINT) AS target_retained_tokens, count(*) FILTER (WHERE s >= 2) AS source_active_types, count(*) FILTER (WHERE t >= 2) AS target_active_types, count(*) FILTER (WHERE s >= 2 AND t >= 2) AS shared_active_types,
+    round(1e0 * count(*) FILTER (WHERE s >= 2 AND t >= 2) / count(*) FILTER (WHERE s >= 2 OR t >= 2), 6) AS active_type_jaccard, round(1e0 * count(*) FILTER (WHERE s >= 2 AND t >= 2) / count(*) FILTER (WHERE t >= 2), 6) AS target_active_type_coverage_by_source,
+    round(1e0 * sum(CASE WHEN s >= 2 THEN t ELSE 0 END) / max(tt), 6) AS target_token_coverage_by_source_active_types, round(1e0 * sum(CASE WHEN t >= 2 THEN s ELSE 0 END) / max(ss), 6) AS source_token_coverage_by_target_active_types, {_JS} AS jensen_shannon_divergence_bits_retained_vocabulary FROM p GROUP BY text_representation""",
+)
+def shift_vocabulary_summary(spark, sf):
+    return bundle(spark, sf)["vocabulary_summary"]
+
+
+_ENRICHED = """SELECT 'en_to_other' AS direction, text_representation, '{name}' AS enrichment, CAST(rank AS INTEGER) AS rank, term, s AS source_count, round(ps, 9) AS source_share, t AS target_count, round(pt, 9) AS target_share, round(delta, 9) AS target_minus_source_share,
+    round(log2(((t + 0.5) / (tt + 0.5 * v)) / ((s + 0.5) / (ss + 0.5 * v))), 6) AS target_to_source_log2_ratio_smoothed FROM (SELECT *, row_number() OVER (PARTITION BY text_representation ORDER BY delta {order}, term) AS rank FROM (SELECT *, round(pt - ps, 12) AS delta FROM p WHERE s + t >= 2)) WHERE rank <= 25"""
+
+
+@query("shift_vocabulary_terms", f"WITH {_TERMS} " + _ENRICHED.format(name="source_enriched", order="ASC") + " UNION ALL " + _ENRICHED.format(name="target_enriched", order="DESC"))
+def shift_vocabulary_terms(spark, sf):
+    return bundle(spark, sf)["vocabulary_shift_terms"]
+
+
+@query(
+    "shift_length_profiles",
+    f"""WITH {_WORDS}, l AS (SELECT text_representation, CASE WHEN side = 0 THEN 'source_train' ELSE 'target_test_after_domain_exclusion' END AS cohort, CAST(len(ws) AS BIGINT) AS n FROM w)
+    SELECT {_DIR}, text_representation, cohort, count(*) AS records, round(1e0 * count(*) FILTER (WHERE n = 0) / count(*), 6) AS empty_document_share, round(avg(n), 6) AS mean_tokens, round(stddev_samp(n), 5) AS standard_deviation_tokens, min(n) AS minimum_tokens,
+    {", ".join(f"round(quantile_cont(n, {q}), 6) AS {p}_tokens" for p, q in (("p10", 0.1), ("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p90", 0.9)))}, max(n) AS maximum_tokens FROM l GROUP BY text_representation, cohort""",
+)
+def shift_length_profiles(spark, sf):
+    return bundle(spark, sf)["document_length_profiles"]
+
+
+@query(
+    "shift_length_shift",
+    f"""WITH {_WORDS}, l AS (SELECT text_representation AS rep, side, len(ws) AS n FROM w), m AS (SELECT rep, avg(n) FILTER (WHERE side = 0) AS ms, avg(n) FILTER (WHERE side = 1) AS mt, quantile_cont(n, 0.5) FILTER (WHERE side = 0) AS ds, quantile_cont(n, 0.5) FILTER (WHERE side = 1) AS dt,
+    count(*) FILTER (WHERE side = 0) AS cs, count(*) FILTER (WHERE side = 1) AS ct, var_samp(n) FILTER (WHERE side = 0) AS vs, var_samp(n) FILTER (WHERE side = 1) AS vt FROM l GROUP BY 1),
+    g AS (SELECT rep, n, count(*) FILTER (WHERE side = 0) AS s, count(*) FILTER (WHERE side = 1) AS t FROM l GROUP BY 1, 2), u AS (SELECT rep, max(gap) AS ks FROM (SELECT rep, abs(1e0 * sum(s) OVER (PARTITION BY rep ORDER BY n) / sum(s) OVER (PARTITION BY rep) - 1e0 * sum(t) OVER (PARTITION BY rep ORDER BY n) / sum(t) OVER (PARTITION BY rep)) AS gap FROM g) GROUP BY 1)
+    SELECT {_DIR}, m.rep AS text_representation, round(mt - ms, 6) AS target_minus_source_mean_tokens, round(mt / ms, 6) AS target_to_source_mean_ratio, round(dt - ds, 6) AS target_minus_source_median_tokens, round(dt / ds, 6) AS target_to_source_median_ratio,
+    round((mt - ms) / sqrt(((cs - 1) * vs + (ct - 1) * vt) / (cs + ct - 2)), 6) AS standardized_mean_difference_target_minus_source, round(ks, 6) AS kolmogorov_smirnov_statistic FROM m JOIN u ON m.rep = u.rep""",
+)
+def shift_length_shift(spark, sf):
+    return bundle(spark, sf)["document_length_shift"]
+
+
+_SHARES = f"{_CATS}, p AS (SELECT field, value, s, t, 1e0 * s / (SELECT ns FROM sizes) AS ps, 1e0 * t / (SELECT nt FROM sizes) AS pt FROM k WHERE s + t > 0)"
+
+
+@query("shift_categorical_distributions", f"WITH {_SHARES} SELECT {_DIR}, field, value AS category, s AS source_count, round(ps, 6) AS source_share, t AS target_count, round(pt, 6) AS target_share, round(pt - ps, 6) AS target_minus_source_share FROM p")
+def shift_categorical_distributions(spark, sf):
+    return bundle(spark, sf)["categorical_distributions"]
+
+
+_SUMMARY = f"""cs AS (SELECT field, count(*) FILTER (WHERE s > 0) AS source_unique_categories, count(*) FILTER (WHERE t > 0) AS target_unique_categories, count(*) FILTER (WHERE s > 0 AND t > 0) AS shared_categories, round(1e0 * count(*) FILTER (WHERE s > 0 AND t > 0) / count(*), 6) AS category_jaccard,
+    round(sum(CASE WHEN s > 0 THEN pt ELSE 0 END), 6) AS target_record_share_in_source_categories, round(sum(CASE WHEN t > 0 THEN ps ELSE 0 END), 6) AS source_record_share_in_target_categories, round(0.5 * sum(abs(ps - pt)), 6) AS total_variation_distance, {_JS} AS jensen_shannon_divergence_bits,
+    round(max(ps), 6) AS source_top1_share, round(max(pt), 6) AS target_top1_share, round(sum(ps) FILTER (WHERE rs <= 5), 6) AS source_top5_share, round(sum(pt) FILTER (WHERE rt <= 5), 6) AS target_top5_share, round(sum(ps * ps), 6) AS source_hhi, round(sum(pt * pt), 6) AS target_hhi,
+    round(1 / sum(ps * ps), 6) AS source_effective_category_count, round(1 / sum(pt * pt), 6) AS target_effective_category_count, round(coalesce(sum(ps) FILTER (WHERE value = '(missing)'), 0), 6) AS source_missing_share, round(coalesce(sum(pt) FILTER (WHERE value = '(missing)'), 0), 6) AS target_missing_share,
+    round(CASE WHEN field = 'harmonized_label' THEN coalesce(sum(ps) FILTER (WHERE value = 'unreliable'), 0) END, 6) AS source_unreliable_prevalence, round(CASE WHEN field = 'harmonized_label' THEN coalesce(sum(pt) FILTER (WHERE value = 'unreliable'), 0) END, 6) AS target_unreliable_prevalence,
+    round(CASE WHEN field = 'harmonized_label' THEN coalesce(sum(pt) FILTER (WHERE value = 'unreliable'), 0) - coalesce(sum(ps) FILTER (WHERE value = 'unreliable'), 0) END, 6) AS target_minus_source_unreliable_prevalence
+    FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY ps DESC) AS rs, row_number() OVER (PARTITION BY field ORDER BY pt DESC) AS rt FROM p) GROUP BY field)"""
+
+
+@query("shift_categorical_summary", f"WITH {_SHARES}, {_SUMMARY} SELECT {_DIR}, * FROM cs")
+def shift_categorical_summary(spark, sf):
+    return bundle(spark, sf)["categorical_shift_summary"]
+
+
 @query("shift_bundle")
 def shift_bundle(spark, sf):
-    from tessera.operators import shift as S
-    from tessera.functions.text import tokens
-
-    d = items(spark, sf).withColumn("side", F.when(F.col("dataset") == "en", 0).otherwise(1))
-    parts = [S.categorical_shift(d, c, "side").select(F.lit(c).alias("component"), "tv", "js") for c in ("text_unit", "harmonized_label", "source_name")]
-    v = S.vocab_shift(S.vocabulary(d, tokens(F.col("body_text")), "side")).select(F.lit("vocabulary").alias("component"), F.lit(None).cast("double").alias("tv"), "js")
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(v)
-    return out.unpivot(["component"], ["tv", "js"], "metric", "value")
+    return bundle(spark, sf)["shift_summary"]
+
+
+@query("shift_topic_distributions")
+def shift_topic_distributions(spark, sf):
+    return bundle(spark, sf)["topic_proxy_distributions"]
 
 
 _F1 = "CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2.0e0 * tp / (2 * tp + fp + fn) END"

@@ -7,6 +7,7 @@ import gc
 import os
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,17 @@ def importable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_COLLECTED = [0.0]
+
+
+def _collect(spark: SparkSession, seconds: float = 2.0) -> None:
+    """Let Spark remove the shuffle files that led to a table; not again within ``seconds``, as many small tables leave little."""
+    if time.monotonic() - _COLLECTED[0] >= seconds:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _COLLECTED[0] = time.monotonic()
+
+
 class Workspace:
     """Intermediate tables of one query, written to the shared folder.
 
@@ -63,8 +75,7 @@ class Workspace:
         path = f"{self.root}/{self.n:03d}-{name}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files that led to the table
+        _collect(self.spark)
         out._tessera_path = path
         return out
 

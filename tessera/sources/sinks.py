@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import math
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,9 +35,48 @@ def write_json(df: DataFrame, path: str) -> None:
     strict(df).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def write_bundle(tables: dict[str, DataFrame], root: str) -> None:
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small text file, through the file system of its path."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+#: Tables of the shift bundle that have a row a cohort, text or field: the summary holds them whole.
+SMALL = ("cohort_profiles", "domain_exclusion_summary", "vocabulary_summary", "document_length_profiles", "document_length_shift", "categorical_shift_summary", "topic_proxy_summary", "shift_summary")
+
+
+def write_bundle(tables: Mapping[str, DataFrame], root: str) -> None:
+    """Parquet per table; of a shift bundle also ``summary.json`` (metadata and small tables, strict) and ``summary.md``."""
     for name, df in tables.items():
         write_parquet(df, f"{root}/{name}")
+    metadata = getattr(tables, "metadata", None)
+    if metadata is None:
+        return
+    spark = next(iter(tables.values())).sparkSession
+    small = {name: spark.read.parquet(f"{root}/{name}") for name in SMALL if name in tables}
+    rows = {name: [r.asDict(recursive=True) for r in strict(df).collect()] for name, df in small.items()}
+    write_text(spark, json.dumps(metadata | {"tables": sorted(tables), "summaries": rows}, indent=2, allow_nan=False, default=str) + "\n", f"{root}/summary.json")
+    write_text(spark, render_shift(metadata, small), f"{root}/summary.md")
+
+
+def render_shift(metadata: dict, small: dict[str, DataFrame]) -> str:
+    """The small tables of a shift bundle as a markdown report."""
+    heads = {
+        "cohort_profiles": "Cohorts", "domain_exclusion_summary": "Domains left out", "vocabulary_summary": "Vocabulary", "document_length_profiles": "Document lengths",
+        "document_length_shift": "Length shift", "categorical_shift_summary": "Composition", "topic_proxy_summary": "Topics (descriptive, not validated)",
+    }
+    out = [f"# Shift from {metadata['source_dataset']} to {metadata['target_dataset']}\n", "Descriptive differences between training and test records; none of them shows a cause. Labels of the two datasets are not taken to mean the same.\n"]
+    for name, head in heads.items():
+        if name in small:
+            df = small[name].drop("direction")
+            keys = [c for c in ("cohort", "dataset", "text_representation", "field") if c in df.columns]
+            out.append(f"## {head}\n\n{markdown_table(df.orderBy(*keys) if keys else df)}")
+    return "\n".join(out)
 
 
 def markdown_table(df: DataFrame) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import evaluation as E
 from tessera.operators import models as M
 from tessera.operators import shift as S
+from tessera.operators.isotonic import isotonic
 from tessera.operators.relational import ContractError
 from tessera.operators.study import paired_predictions
 
@@ -106,6 +107,6 @@ def test_platt_and_isotonic(spark):
     df = preds(spark, [(int(a), 0, float(b), "g") for a, b in zip(y, s)])
     a, b = M.platt(df)
     assert abs(a - 0.5) < 0.2 and abs(b - 1.5) < 0.25
-    iso = M.isotonic(df)
+    iso = isotonic(df).toPandas().sort_values("from_score")
     assert iso.value.is_monotonic_increasing and iso.n.sum() == 3000
     assert M.isotonic_allowed(1000, 200) and not M.isotonic_allowed(999, 400) and not M.isotonic_allowed(2000, 199)

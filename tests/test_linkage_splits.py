@@ -1,3 +1,7 @@
+import math
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +110,122 @@ def test_config(spark, tmp_path):
     with pytest.raises(ContractError):
         config.load_json(spark, str(tmp_path / "l.json"))
     assert not config.folders_exist(spark, str(tmp_path))
+
+
+# ---- near titles against a plain nearest-neighbour search --------------------
+
+
+def plain_grams(title):
+    out = []
+    for w in title.split():
+        w = f" {w} "
+        out += [w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)]
+    return out
+
+
+def plain_title_edges(rows, threshold, neighbours=7, ratio=0.85):
+    """By record: a record's nearest others by (similarity, equal titles first, least record of the title)."""
+    out = set()
+    for d in {r[0] for r in rows}:
+        own = {i: t for dd, i, t in rows if dd == d and len(t) >= 30 and len(t.split()) >= 6}
+        name = {t: min(i for i in own if own[i] == t) for t in own.values()}
+        grams = {t: Counter(plain_grams(t)) for t in name}
+        df = Counter(g for t in own.values() for g in grams[t])
+        vec = {}
+        for t in name:
+            x = {g: n * (math.log((1 + len(own)) / (1 + df[g])) + 1) for g, n in grams[t].items() if df[g] >= 2}
+            norm = math.sqrt(sum(v * v for v in x.values()))
+            vec[t] = {g: v / norm for g, v in x.items()} if norm else {}
+        for t, i in name.items():
+            near = []
+            for j, u in own.items():
+                if j != i:
+                    sim = 1.0 if u == t else round(sum(v * vec[u].get(g, 0) for g, v in vec[t].items()), 12)
+                    near.append((u != t, -sim, name[u], j, u, sim))
+            for other, _, _, _, u, sim in sorted(near)[:neighbours]:
+                if other and sim >= threshold and min(len(t), len(u)) >= ratio * max(len(t), len(u)):
+                    out.add((d, *sorted((name[t], name[u]))))
+        out |= {(d, name[t], i) for i, t in own.items() if i != name[t]}
+    return out
+
+
+def star_titles():
+    r = random.Random(4)
+    words = ["remarkable", "discovery", "changes", "the", "understanding", "of", "sleeping", "patterns", "worldwide", "today", "a", "in"]
+    long = lambda k: " ".join(r.choice(words) for _ in range(k))
+    base = long(24)
+    rows = [("d", "a00", base)]
+    for i in range(1, 27):  # a star: each differs from the base in one word
+        w = base.split()
+        w[i % 24] = "".join(r.choice("bcdfgjklmpqvwxz") for _ in range(9))
+        rows.append(("d", f"a{i:02d}", " ".join(w)))
+    rows += [("d", "b1", base), ("d", "b2", base + " x y"), ("d", "b3", (base + " ") * 2 + base), ("e", "a00", base), ("e", "a01", base + " z"), ("d", "s", "too short")]
+    rows += [("d", f"c{i}", long(18)) for i in range(20)]
+    same = long(20)
+    return rows + [("d", f"m{i}", same) for i in range(9)] + [("d", "n1", same + " a"), ("d", "n2", same + " in a")]
+
+
+@pytest.mark.parametrize(("threshold", "block"), [(0.97, 2000), (0.9, 5), (0.8, 3)])
+def test_fuzzy_edges_match_plain_neighbours(spark, threshold, block):
+    rows = star_titles()
+    df = spark.createDataFrame([(d, i, "", "[]", t, "", "") for d, i, t in rows], ITEM).repartition(3)
+    got = L.fuzzy_title_edges(df, threshold=threshold, block=block).collect()
+    want = plain_title_edges(rows, threshold)
+    assert {(r.dataset, r.src, r.dst) for r in got} == want and len(got) == len(want)
+    if threshold == 0.8:
+        assert sum("a00" in e for e in want) > 7  # more than its own seven: the others keep it among theirs
+
+
+def test_fuzzy_edges_of_nothing(spark):
+    assert L.fuzzy_title_edges(spark.createDataFrame([], ITEM)).collect() == []
+
+
+# ---- dealing groups ---------------------------------------------------------
+
+
+def one_by_one(classes, targets, total):
+    have, out = [[0] * len(total) for _ in targets], []
+    for v, m in classes:
+        given = [0] * len(targets)
+        for _ in range(m):
+            cost = [round(sum(abs(h + a - t * n) - abs(h - t * n) for h, a, n in zip(have[k], v, total)), 6) for k, t in enumerate(targets)]
+            k = cost.index(min(cost))
+            have[k] = [h + a for h, a in zip(have[k], v)]
+            given[k] += 1
+        out.append(given)
+    return out
+
+
+def test_classes_are_dealt_as_groups_one_by_one():
+    r = random.Random(1)
+    for _ in range(60):
+        strata = r.randint(1, 4)
+        classes = sorted({tuple(r.randint(0, 6) for _ in range(strata)) for _ in range(r.randint(1, 12))} - {(0,) * strata}, key=lambda v: (-sum(v), v))
+        classes = [(v, r.choice([1, 2, 7, 150])) for v in classes] or [((1,) * strata, 40)]
+        total = [sum(m * v[i] for v, m in classes) for i in range(strata)]
+        assert P.deal(classes, (0.6, 0.2, 0.2), total) == one_by_one(classes, (0.6, 0.2, 0.2), total)
+    assert P.deal([((1,), 30_000_000)], (0.6, 0.2, 0.2), [30_000_000]) == [[18_000_000, 6_000_000, 6_000_000]]
+
+
+def test_standard_split_of_single_records(spark, monkeypatch):
+    from tessera.operators import prefix
+
+    monkeypatch.setattr(prefix, "RANGE_ROWS", 70)
+    r = roster(spark, 900).withColumn("grp", F.col("record_id"))
+    s = r.join(P.standard_split(r, "grp"), "grp")
+    assert s.count() == 900 and P.split_score(s, P.SplitSettings()).first().score < 0.02
+    assert {x.split: x["count"] for x in s.groupBy("split").count().collect()} == {"train": 540, "validation": 180, "test": 180}
+
+
+def test_repeats_in_one_job(spark):
+    r = roster(spark)
+    best = P.best_attempts(r, "grp", 20, repeats=3)
+    assert [b // 20 for b in best] == [0, 1, 2]
+    m, again = P.repeat_memberships(r, "grp", 3, 20)
+    assert again == best
+    for k, b in enumerate(best):
+        own = {x.record_id: x.split for x in r.withColumn("split", P.attempt_split("grp", b)).collect()}
+        bits = {x.record_id: ["train", "validation", "test"][[x.member >> (3 * j + k) & 1 for j in range(3)].index(1)] for x in m.collect()}
+        assert bits == own
+    with pytest.raises(ContractError):
+        P.repeat_memberships(r, "grp", 30, 5)
