@@ -37,6 +37,7 @@ import os
 import uuid
 from collections.abc import Iterator
 from functools import cache, cached_property
+from itertools import chain
 from urllib.parse import urlparse
 
 import numpy as np
@@ -56,8 +57,14 @@ SLICE = 1 << 20  # bytes of text in a written slice
 CHUNK = 1 << 19  # tokens whose ids are spelled at a time
 
 
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Indices start, start + 1 ... of every run, one after another."""
+    ends = np.cumsum(lengths)
+    return np.arange(int(lengths.sum())) + np.repeat(starts - (ends - lengths), lengths)
+
+
 class Vocabulary:
-    """Token ids of texts, and the bytes of a token: ``lengths`` and ``data`` (one after another)."""
+    """The bytes of every token: ``lengths`` and ``data`` (one after another)."""
 
     def __init__(self, tokens: list[bytes]):
         self.lengths = np.array([len(t) for t in tokens], dtype=np.int64)
@@ -65,9 +72,7 @@ class Vocabulary:
         self.data = np.frombuffer(b"".join(tokens), dtype=np.uint8)
 
     def bytes_of(self, ids: np.ndarray) -> bytes:
-        n = self.lengths[ids]
-        ends = np.cumsum(n)
-        return self.data[np.arange(int(n.sum())) + np.repeat(self.starts[ids] - (ends - n), n)].tobytes()
+        return self.data[ragged(self.starts[ids], self.lengths[ids])].tobytes()
 
 
 class ByteVocabulary(Vocabulary):
@@ -75,7 +80,8 @@ class ByteVocabulary(Vocabulary):
 
     Where the file's merges are in the order of their ids, and it splits by
     the usual pattern without a normaliser, ranks give the same ids several
-    times faster; any other file goes through its own library.
+    times faster, and joined tokens are the text's bytes by construction; any
+    other file goes through its own library.
     """
 
     def __init__(self, path: str):
@@ -94,47 +100,87 @@ class ByteVocabulary(Vocabulary):
         usual = split == {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True} and told["normalizer"] is None and told["post_processor"] is None
         model = told["model"]
         usual &= not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
-        if usual and all(vocab[a + b] == 256 + i for i, (a, b) in enumerate(merges)) and all(vocab[x] < 256 for x in letters):
+        self.lossless = usual and all(vocab[a + b] == 256 + i for i, (a, b) in enumerate(merges)) and all(vocab[x] < 256 for x in letters)
+        if self.lossless:
             import tiktoken
 
             ranks = {tokens[i]: i for t, i in vocab.items() if t not in special}
-            run = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-            self.encode = lambda texts: [run(t) for t in texts]
+            own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.encode = lambda texts: [own.encode_to_numpy(t, disallowed_special=()) for t in texts]
         else:
             os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
             from tokenizers import Tokenizer
 
             own = Tokenizer.from_file(path)
             own.encode_special_tokens = True
-            self.encode = lambda texts: [x.ids for x in own.encode_batch(texts, add_special_tokens=False)]
+            self.encode = lambda texts: [np.array(x.ids, dtype=np.uint32) for x in own.encode_batch(texts, add_special_tokens=False)]
+
+    def aligned(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Ids of a space and each text; none where they do not give its bytes."""
+        ids = self.encode([" " + t for t in texts])
+        return ids if self.lossless else [x if self.bytes_of(x) == b" " + t.encode() else None for x, t in zip(ids, texts, strict=True)]
 
 
 class PieceVocabulary(Vocabulary):
     """A piece model that puts a space before a text.
 
-    Where no piece reaches from one word into the next, words are tokenised
-    once a call and the ids of a text put together from them; texts with
-    spaces side by side or at an end, or the space sign itself, go whole.
+    Where no piece reaches from one word into the next, a text's ids are its
+    words' ids one after another, and a word met before (``most`` words are
+    kept) costs a look-up; texts with spaces side by side or at an end, or
+    the space sign itself, go whole.
     """
 
     SIGN = "▁"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = 300_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         super().__init__([bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(self.SIGN, " ").encode() for i, p in enumerate(pieces)])
         self.by_word = not any(self.SIGN in p.lstrip(self.SIGN) for p in pieces)
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.first = np.empty(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
+        self.whole = np.empty(0, dtype=bool)
+
+    def learn(self, words: list[str]) -> None:
+        got = self.model.encode(words, num_threads=1)
+        n = np.array([len(x) for x in got], dtype=np.int64)
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32, int(n.sum()))])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(n)])
+        ends = np.cumsum(self.lengths[self.ids[len(self.ids) - int(n.sum()) :]])
+        same = b"".join(b" " + w.encode() for w in words)
+        if self.bytes_of(self.ids[len(self.ids) - int(n.sum()) :]) == same and np.array_equal(np.concatenate([[0], ends])[np.cumsum(n)], np.cumsum([1 + len(w.encode()) for w in words])):
+            fits = np.ones(len(words), dtype=bool)
+        else:
+            fits = np.array([self.bytes_of(np.array(x, dtype=np.int64)) == b" " + w.encode() for x, w in zip(got, words, strict=True)])
+        self.whole = np.concatenate([self.whole, fits])
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        run = lambda part: self.model.encode(part, num_threads=1) if part else []
+    def aligned(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Ids of each text; none where they do not give a space and its bytes."""
         simple = [self.by_word and t != "" and "  " not in t and t[0] != " " and t[-1] != " " and self.SIGN not in t for t in texts]
-        number: dict[str, int] = {}
-        split = [[number.setdefault(w, len(number)) for w in t.split(" ")] if ok else None for t, ok in zip(texts, simple, strict=True)]
-        words = run(list(number))
-        whole = iter(run([t for t, ok in zip(texts, simple, strict=True) if not ok]))
-        return [next(whole) if at is None else [x for k in at for x in words[k]] for at in split]
+        split = [t.split(" ") if ok else [] for t, ok in zip(texts, simple, strict=True)]
+        new = list({w: None for own in split for w in own if w not in self.number})
+        if len(new) + len(self.number) > self.most:
+            self.clear()
+            new = list({w: None for own in split for w in own})
+        if new:
+            self.number |= dict(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+            self.learn(new)
+        number = self.number
+        out: list[np.ndarray | None] = []
+        for t, ok, own in zip(texts, simple, split, strict=True):
+            if ok:
+                at = np.fromiter(map(number.__getitem__, own), np.int64, len(own))
+                ids, sure = self.ids[ragged(self.first[at], self.first[at + 1] - self.first[at])], self.whole[at].all()
+            else:
+                ids, sure = np.array(self.model.encode(t), dtype=np.uint32), False
+            out.append(ids if sure or self.bytes_of(ids) == b" " + t.encode() else None)
+        return out
 
 
 @cache
@@ -147,11 +193,10 @@ def piece_vocabulary(path: str) -> PieceVocabulary:
     return PieceVocabulary(path)
 
 
-def tokenise(texts: list[bytes], a: Vocabulary, b: Vocabulary) -> tuple[list[list[int]], list[list[int]]]:
+def tokenise(texts: list[bytes], a: ByteVocabulary, b: PieceVocabulary) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Ids of both sides; none where a text cannot be aligned."""
-    out_a: list[list[int]] = [[] for _ in texts]
-    out_b: list[list[int]] = [[] for _ in texts]
-    at, plain = [], []
+    none = np.empty(0, dtype=np.uint32)
+    out_a, out_b, at, plain = [none] * len(texts), [none] * len(texts), [], []
     for i, t in enumerate(texts):
         try:
             if t:
@@ -159,9 +204,8 @@ def tokenise(texts: list[bytes], a: Vocabulary, b: Vocabulary) -> tuple[list[lis
                 at.append(i)
         except UnicodeDecodeError:
             pass
-    for i, x, y in zip(at, a.encode([" " + t for t in plain]), b.encode(plain), strict=True):
-        want = b" " + texts[i]
-        if a.bytes_of(np.array(x, dtype=np.int64)) == want and b.bytes_of(np.array(y, dtype=np.int64)) == want:
+    for i, x, y in zip(at, a.aligned(plain), b.aligned(plain), strict=True):
+        if x is not None and y is not None:
             out_a[i], out_b[i] = x, y
     return out_a, out_b
 
@@ -259,7 +303,7 @@ def sliced(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str
             for part in by_bytes(whole, 1, SLICE):
                 x, y = tokenise(texts_of(part.column(1)), a, b)
                 ids = part.column(0)
-                flat = [np.fromiter((i for t in side for i in t), np.int32, sum(map(len, side))) for side in (x, y)]
+                flat = [np.concatenate(side).astype(np.int32) for side in (x, y)]
                 sizes = [np.array([len(t) for t in side], dtype=np.int64) for side in (x, y)]
                 missing = np.asarray(ids.is_null()).astype(np.uint8)
                 blob = arrays(np.asarray(ids.fill_null(0), dtype=np.int64), missing, *sizes, *flat)
