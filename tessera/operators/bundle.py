@@ -70,7 +70,7 @@ def long_counts(rows: DataFrame) -> DataFrame:
 
 def shift_bundle(source: DataFrame, target: DataFrame, known: DataFrame, *, source_name: str, target_name: str, seed: int = 613, vocabulary_max_features: int = 20_000, least: int = 2, enriched: int = 25, topics: int = 10, topic_max_features: int = 5000, topic_rounds: int = 12) -> Bundle:
     """All tables of one direction. ``known`` holds the records whose ``source_domain`` a target record must not have."""
-    ws = Workspace(source.sparkSession)
+    ws = Workspace(source.sparkSession, rest=2.0)
     for df, name in ((source, COHORTS[0]), (target, COHORTS[1])):
         require_columns(df, set(REQUIRED), name)
     direction = F.lit(f"{source_name}_to_{target_name}").alias("direction")

@@ -62,7 +62,7 @@ def isotonic(df: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     over all of them takes about log2 of their number rounds. A task holds two
     ranges at most, the driver the first and last step of each.
     """
-    ws = Workspace(df.sparkSession)
+    ws = Workspace(df.sparkSession, rest=2.0)
     steps = ws.keep(df.groupBy(F.col("score").cast("double").alias("from_score")).agg(F.count("*").alias("n"), F.sum(F.col("y").cast("double")).alias("k")), "steps")
     parts = max(1, min(MOST_RANGES, -(-steps.count() // range_rows)))
     dealt = steps.repartitionByRange(parts, "from_score").sortWithinPartitions("from_score")

@@ -121,7 +121,7 @@ def fuzzy_title_edges(df: DataFrame, *, threshold: float = 0.97, neighbours: int
     titles, named by their least record, are compared once; records of one
     title hang on it.
     """
-    ws = Workspace(df.sparkSession)
+    ws = Workspace(df.sparkSession, rest=2.0)
     t = df.select("dataset", "record_id", T.normalized_text("title").alias("title"))
     t = ws.keep(t.where((F.length("title") >= 30) & (F.size(F.split("title", " ")) >= 6)), "titles")
     titles = ws.keep(t.groupBy("dataset", "title").agg(F.min("record_id").alias("id"), F.count("*").alias("times")), "distinct")

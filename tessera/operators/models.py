@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.density import density_clusters
 from tessera.operators.evaluation import counts, from_counts
+from tessera.operators.neighbours import matrix
+from tessera.operators.sums import summed
+from tessera.runtime import Workspace
 
 
 def with_balance(train: DataFrame) -> DataFrame:
@@ -69,19 +74,45 @@ def isotonic_allowed(n: int, positives: int) -> bool:
     return n >= 1000 and min(positives, n - positives) >= 200
 
 
-def cluster_topics(df: DataFrame, k: int = 8, seed: int = 613, cut: float = 0.95) -> DataFrame:
-    """record_id, topic_id, assigned_probability of vectors by k-means; the farthest (beyond quantile ``cut``) are outliers (-1)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    d = df.select("record_id", array_to_vector(F.transform("vector", lambda x: x.cast("double"))).alias("features"), "vector")
-    model = KMeans(k=k, seed=seed, maxIter=20).fit(d)
-    centers = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in model.clusterCenters()])
-    got = model.transform(d).withColumn("c", F.get(centers, F.col("prediction")))
-    dist = F.sqrt(F.aggregate(F.zip_with("vector", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    got = got.select("record_id", "prediction", dist.alias("d"))
-    limit = got.agg(F.percentile_approx("d", cut, 10_000)).first()[0]
-    return got.select("record_id", F.when(F.col("d") > limit, -1).otherwise(F.col("prediction")).alias("topic_id"), (1 / (1 + F.col("d"))).alias("assigned_probability"))
+def principal(vectors: DataFrame, components: int) -> DataFrame:
+    """id and v on the leading principal axes; sums of at most dim x dim numbers a task, no vector leaves it."""
+    first = vectors.select("v").first()
+    if first is None or components >= len(first["v"]):
+        return vectors
+    dim = len(first["v"])
+
+    def work(batches):
+        out = np.zeros((dim + 1, dim + 1))
+        for b in batches:
+            if b.num_rows:
+                x = np.concatenate([matrix(b.column("v")), np.ones((b.num_rows, 1))], axis=1)
+                out += x.T @ x
+        return out
+
+    s = summed(vectors, work, (dim + 1, dim + 1))
+    mean = s[-1, :-1] / s[-1, -1]
+    _, axes = np.linalg.eigh(s[:-1, :-1] / s[-1, -1] - np.outer(mean, mean))
+    axes = axes[:, ::-1][:, :components]
+
+    def turn(batches):
+        for b in batches:
+            if b.num_rows:
+                y = (matrix(b.column("v")) - mean) @ axes
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(pa.array(np.arange(0, y.size + 1, components), pa.int32()), pa.array(y.ravel()))], ["id", "v"])
+
+    return vectors.mapInArrow(turn, "id long, v array<double>")
+
+
+def cluster_topics(df: DataFrame, *, min_size: int = 30, components: int = 5, **options) -> DataFrame:
+    """record_id, topic_id, assigned_probability: density clusters of ``vector`` (unit length, on ``components`` leading axes; 0 keeps all), topics by falling size, outliers -1."""
+    ws = Workspace(df.sparkSession)
+    unit = F.transform("vector", lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(unit, F.lit(0.0), lambda a, x: a + x * x))
+    d = df.select("record_id", F.transform(unit, lambda x: x / F.greatest(norm, F.lit(1e-300))).alias("v"))
+    d = ws.keep(d.withColumn("id", F.monotonically_increasing_id()), "vectors")
+    vectors = d.select("id", "v")
+    got = density_clusters(principal(vectors, components) if components else vectors, min_size=min_size, **options)
+    return d.join(got, "id").select("record_id", F.col("cluster").alias("topic_id"), F.col("probability").alias("assigned_probability"))
 
 
 def topic_descriptors(docs: DataFrame, topics: DataFrame, k: int = 10) -> DataFrame:

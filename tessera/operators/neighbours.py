@@ -65,7 +65,8 @@ def _best(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
     d = distances(x, x)
     np.fill_diagonal(d, np.inf)
     near = np.argpartition(d, k - 1, axis=1)[:, :k]
-    return np.repeat(ids, k), ids[near].ravel(), np.take_along_axis(d, near, 1).ravel()
+    exact = np.concatenate([np.sqrt(((x[near[i : i + 64]] - x[i : i + 64, None, :]) ** 2).sum(2)) for i in range(0, len(ids), 64)])
+    return np.repeat(ids, k), ids[near].ravel(), exact.ravel()
 
 
 def _rows(ids, others, d) -> pa.RecordBatch:
@@ -81,7 +82,7 @@ def nearest_of(pairs: DataFrame, k: int) -> DataFrame:
 
 def neighbour_graph(vectors: DataFrame, k: int = 15, *, trees: int = 8, bits: int = 24, block: int = 1000, refine: int = 1, seed: int = 613) -> DataFrame:
     """(id, other, d): about the k nearest others of every vector. ``vectors`` has id (long, unique) and v (equal lengths)."""
-    ws = Workspace(vectors.sparkSession)
+    ws = Workspace(vectors.sparkSession, rest=2.0)
     first = vectors.select("v").first()
     if first is None:
         return vectors.sparkSession.createDataFrame([], "id long, other long, d double")

@@ -24,7 +24,7 @@ def ranged(df: DataFrame, order: list[Column], keys: list[str] = (), range_rows:
 
     Rows that ``order`` does not tell apart are spread as well, in any order.
     """
-    ws = Workspace(df.sparkSession)
+    ws = Workspace(df.sparkSession, rest=2.0)
     kept = ws.keep(df, "steps")
     parts = min(MOST_RANGES, -(-kept.count() // (range_rows or RANGE_ROWS)))
     if parts <= 1:

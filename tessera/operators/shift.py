@@ -24,7 +24,7 @@ def aligned(df: DataFrame, key: str, side: str) -> DataFrame:
 
 def with_shares(counts: DataFrame) -> DataFrame:
     """``counts`` (written once) with shares ps and pt of the two sides."""
-    kept = Workspace(counts.sparkSession).keep(counts, "counts")
+    kept = Workspace(counts.sparkSession, rest=2.0).keep(counts, "counts")
     total = kept.agg(F.sum("s").alias("s"), F.sum("t").alias("t")).first()
     return kept.withColumn("ps", F.try_divide("s", F.lit(total["s"]))).withColumn("pt", F.try_divide("t", F.lit(total["t"])))
 

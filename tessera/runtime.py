@@ -47,8 +47,8 @@ def importable(spark: SparkSession) -> SparkSession:
 _COLLECTED = [0.0]
 
 
-def _collect(spark: SparkSession, seconds: float = 2.0) -> None:
-    """Let Spark remove the shuffle files that led to a table; not again within ``seconds``, as many small tables leave little."""
+def _collect(spark: SparkSession, seconds: float) -> None:
+    """Let Spark remove the shuffle files that led to a table; not again within ``seconds``."""
     if time.monotonic() - _COLLECTED[0] >= seconds:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
@@ -63,8 +63,9 @@ class Workspace:
     reads; what the returned DataFrame still reads stays until Python ends.
     """
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, rest: float = 0.0):
+        """``rest``: seconds between clearings of shuffle files, for work in many small tables."""
+        self.spark, self.rest = spark, rest
         self.root = f"{shared_dir(spark)}/ws-{uuid.uuid4().hex}"
         self.n = 0
         atexit.register(self._delete, self.root)
@@ -75,7 +76,7 @@ class Workspace:
         path = f"{self.root}/{self.n:03d}-{name}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        _collect(self.spark)
+        _collect(self.spark, self.rest)
         out._tessera_path = path
         return out
 
