@@ -132,7 +132,7 @@ class PieceVocabulary(Vocabulary):
 
     SIGN = "▁"
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 100_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
