@@ -75,6 +75,15 @@ def refit_verify(spark, sf):
     return X.refit_agreement(*(k.select("record_id", F.col(p).alias("p"), F.col(s).alias("score")) for p, s in (("pa", "score_a"), ("pb", "score_b"))))
 
 
+@query("refit_reproduces")
+def refit_reproduces(spark, sf):
+    """The model fitted again on the same rows in another order and other partitions, against the first."""
+    train, _, test = parts(labelled(spark, sf))
+    a = E.fit(train, E.PLAIN).predict(test)
+    b = E.fit(train.repartition(5, "record_id"), E.PLAIN).predict(test)
+    return X.refit_agreement(*(x.select("record_id", "p", "score") for x in (a, b)))
+
+
 @query("majority", "SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1")
 def majority(spark, sf):
     return spark.createDataFrame([(M.fit_majority(predictions(spark, sf)),)], "label int")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,14 +66,27 @@ def list_files(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(x.getPath().toString() for x in found or ())
 
 
+def first_lines(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """The first line of every file that has one, in one job: a row a file reaches the driver."""
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("i"), "value")
+    rows = lines.where("at = 0").groupBy("path").agg(F.min_by("value", "i").alias("line")).collect()
+    return {unquote(r["path"]): r["line"] for r in rows}
+
+
+def by_header(spark: SparkSession, paths: list[str]) -> list[list[str]]:
+    """Paths of files that begin with the same header; one with a line break inside its header is alone, empty ones are left out."""
+    groups: dict[str, list[str]] = {}
+    for path, line in sorted(first_lines(spark, paths).items()):
+        groups.setdefault(line if line.count('"') % 2 == 0 else f"{line}\n{path}", []).append(path)
+    return list(groups.values())
+
+
 def read_csv_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Files that may differ in their columns, united by name, with ``file``; files of one header are one scan."""
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for p in paths:
-        groups.setdefault(tuple(read_csv(spark, p).columns), []).append(p)
+    groups = by_header(spark, paths) if paths else []
     if not groups:
         raise FileNotFoundError("no CSV files")
-    parts = [read_csv(spark, own).withColumn("file", F.input_file_name()) for own in groups.values()]
+    parts = [read_csv(spark, own).withColumn("file", F.input_file_name()) for own in groups]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 

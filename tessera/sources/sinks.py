@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Mapping
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,29 +119,41 @@ def verify_md5(spark: SparkSession, path: str, md5: str, size: int) -> bool:
 
 
 def table_inventory(spark: SparkSession, root: str, max_json_bytes: int = 10_000_000) -> tuple[DataFrame, DataFrame]:
-    """(tables, fields): records and column names of every CSV, and of every JSON file up to a size.
+    """(tables, fields): path, format, records and status, and the column names, of every CSV, and of every JSON file up to a size.
 
-    A file that cannot be read is a row with its error. One file a row: the
-    small files of a collection, not its contents, reach the driver.
+    Headers are read in one job, records counted in one scan for each kind of
+    header, and JSON files parsed where they lie. A JSON file that cannot be
+    read is a row with its error.
     """
-    import json
-
-    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length").orderBy("path")
-    tables, fields = [], []
-    for r in names.toLocalIterator():
-        path, low = r["path"], r["path"].lower()
-        try:
-            if low.endswith(".csv"):
-                df = spark.read.csv(path, header=True, multiLine=True, escape='"')
-                own, n, kind = df.columns, spark.read.text(path).count() - 1, "csv"
-            elif low.endswith(".json") and r["length"] <= max_json_bytes:
-                got = json.loads(spark.read.text(path, wholetext=True).first()[0])
-                head = got[:50] if isinstance(got, list) else list(got.values())[:50] if isinstance(got, dict) else []
-                own, n, kind = sorted({k for x in head if isinstance(x, dict) for k in x}), len(got) if isinstance(got, list | dict) else 1, "json"
-            else:
-                continue
-            tables.append((path, kind, n, "ok"))
-            fields += [(path, c) for c in own]
-        except Exception as x:  # noqa: BLE001 - whatever is wrong with a file is what its row says
-            tables.append((path, low.rpartition(".")[2], None, f"error: {str(x)[:200]}"))
-    return spark.createDataFrame(tables, "path string, format string, records long, status string"), spark.createDataFrame(fields, "path string, field string")
+    from tessera.sources.items import by_header, read_csv
+
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    low = F.lower("path")
+    csv = [unquote(r["path"]) for r in names.where(low.endswith(".csv")).select("path").collect()]  # names only
+    tables = spark.createDataFrame([], "path string, format string, records long, status string")
+    fields = spark.createDataFrame([], "path string, field string")
+    for own in by_header(spark, csv) if csv else []:
+        df = read_csv(spark, own)
+        all_ = spark.createDataFrame([(p,) for p in own], "path string")
+        n = df.select(F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B"))).alias("path")).groupBy("path").agg(F.count("*").alias("records"))
+        plain = F.regexp_replace("path", "^file:/+", "file:/")
+        got = all_.withColumn("key", plain).join(n.select(plain.alias("key"), "records"), "key", "left")
+        tables = tables.unionByName(got.select("path", F.lit("csv").alias("format"), F.coalesce("records", F.lit(0)).alias("records"), F.lit("ok").alias("status")))
+        fields = fields.unionByName(all_.select("path", F.explode(F.array(*map(F.lit, df.columns))).alias("field")))
+
+    def parse(batches):
+        for b in batches:
+            rows = []
+            for path, raw in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                try:
+                    got = json.loads(raw)
+                    head = got[:50] if isinstance(got, list) else list(got.values())[:50] if isinstance(got, dict) else []
+                    rows.append((path, len(got) if isinstance(got, list | dict) else 1, "ok", sorted({k for x in head if isinstance(x, dict) for k in x})))
+                except ValueError as x:
+                    rows.append((path, None, f"error: {str(x)[:200]}", []))
+            cols = list(zip(*rows, strict=True)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.list_(pa.string()))], ["path", "records", "status", "own"])
+
+    parsed = names.where(low.endswith(".json") & (F.col("length") <= max_json_bytes)).select("path", "content").mapInArrow(parse, "path string, records long, status string, own array<string>")
+    tables = tables.unionByName(parsed.select("path", F.lit("json").alias("format"), "records", "status"))
+    return tables, fields.unionByName(parsed.select("path", F.explode("own").alias("field")))

@@ -173,3 +173,21 @@ def test_audit_gates(spark):
     ):
         status, issues, got, _ = Z.finalize_audit(x, y, template)
         assert status == "awaiting_human_validation" and got is None and gate in {r.gate for r in issues.collect()}, gate
+
+
+def test_headers_in_one_job_and_table_inventory(spark, tmp_path):
+    (tmp_path / "a b").mkdir()
+    (tmp_path / "a b" / "one.csv").write_text('x,y\n1,"two\nlines"\n2,z\n')
+    (tmp_path / "two.csv").write_text("x,y\n5,6\n")
+    (tmp_path / "three.csv").write_text('"x\nx",y\n7,8\n')
+    (tmp_path / "none.csv").write_text("")
+    (tmp_path / "head.csv").write_text("x,z\n")
+    (tmp_path / "list.json").write_text('[{"k": 1}, {"m": 2}]')
+    (tmp_path / "bad.json").write_text("{")
+    groups = items.by_header(spark, [str(p) for p in tmp_path.rglob("*.csv")])
+    assert sorted(sorted(p.rsplit("/", 1)[1] for p in g) for g in groups) == [["head.csv"], ["one.csv", "two.csv"], ["three.csv"]]
+    assert items.read_csv_files(spark, [str(tmp_path / "a b" / "one.csv"), str(tmp_path / "head.csv")]).count() == 2
+    tables, fields = sinks.table_inventory(spark, str(tmp_path))
+    got = {r.path.rsplit("/", 1)[1]: (r.format, r.records, r.status[:5]) for r in tables.collect()}
+    assert got == {"one.csv": ("csv", 2, "ok"), "two.csv": ("csv", 1, "ok"), "three.csv": ("csv", 1, "ok"), "head.csv": ("csv", 0, "ok"), "list.json": ("json", 2, "ok"), "bad.json": ("json", None, "error")}
+    assert sorted(r.field for r in fields.where("path like '%list.json' or path like '%head.csv'").collect()) == ["k", "m", "x", "z"]
