@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections.abc import Callable
 from urllib.parse import parse_qsl, urlencode
 
 import pyarrow as pa
@@ -225,13 +226,22 @@ def content_exclusion_reason(c: Column | str) -> Column:
     return simple_exclusion_reason(value)
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), lambda v: then(v)), F.lit(0))
+
+
 def simple_exclusion_reason(value: Column) -> Column:
-    normalized = simple_normalized(value)
-    words = F.when(normalized == "", 0).otherwise(F.size(F.split(normalized, " ")))
-    out = F.when(F.length(F.replace(normalized, F.lit(" "), F.lit(""))) < 10, "near_empty_text")
-    for reason, pattern in PAGE_REASONS:
-        out = out.when((words <= 250) & F.substring(value, 1, 800).rlike("(?iU)" + pattern), reason)
-    return out.otherwise("")
+    def seen(v: Column) -> Column:
+        return bound(simple_normalized(v), lambda n: F.struct(F.substring(v, 1, 800).alias("head"), F.when(n == "", 0).otherwise(F.size(F.split(n, " "))).alias("words"), F.length(F.replace(n, F.lit(" "), F.lit(""))).alias("letters")))
+
+    def reason(s: Column) -> Column:
+        out = F.when(s["letters"] < 10, "near_empty_text")
+        for name, pattern in PAGE_REASONS:
+            out = out.when((s["words"] <= 250) & s["head"].rlike("(?iU)" + pattern), name)
+        return out.otherwise("")
+
+    return bound(bound(value, seen), reason)
 
 
 def count_terms(c: Column, patterns: tuple[str, ...] = OUTCOME_TERMS) -> Column:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.features import term_counts, tfidf, vocabulary
+from tessera.operators.sums import summed
+from tessera.runtime import Workspace
 
 
 def _weights(x: np.ndarray, idx: np.ndarray, h: np.ndarray, hht: np.ndarray, steps: int = 30) -> np.ndarray:
@@ -23,7 +27,7 @@ def topic_proxy(docs: DataFrame, side: str, *, topics: int = 10, max_features: i
     """(mixtures, terms): record_id, side, weights of every document; top terms of every topic.
 
     Topics by terms is a matrix of at most ``topics`` x ``max_features``
-    numbers: it is broadcast, each task returns one such sum, and the driver
+    numbers: it goes to the tasks, their sums meet in groups, and the driver
     updates it. Documents stay where they are.
     """
     from pyspark.ml.feature import StopWordsRemover
@@ -40,31 +44,26 @@ def topic_proxy(docs: DataFrame, side: str, *, topics: int = 10, max_features: i
         return empty, spark.createDataFrame([], "topic int, rank int, term string")
     index = vocab.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("i"))
     rows = tfidf(counts, vocab, n, sublinear=True).join(F.broadcast(index), "term").groupBy("record_id").agg(F.collect_list("i").alias("i"), F.collect_list("tfidf").alias("x"))
-    rows = docs.select("record_id", side).join(rows, "record_id", "left").persist()
-    k = min(topics, n, len(names))
-    h = np.random.Generator(np.random.PCG64(seed)).random((k, len(names))) + 0.01
-
-    def sums(h: np.ndarray):
-        def run(batches):
-            a, b = np.zeros_like(h), np.zeros((len(h), len(h)))
-            hht = h @ h.T
-            for t in batches:
-                for i, x in zip(t.column("i").to_pylist(), t.column("x").to_pylist(), strict=True):
-                    if i:
-                        i, x = np.array(i), np.array(x)
-                        w = _weights(x, i, h, hht)
-                        a[:, i] += np.outer(w, x)
-                        b += np.outer(w, w)
-            yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()), pa.array([b.tobytes()], pa.binary())], ["a", "b"])
+    rows = Workspace(spark, rest=2.0).keep(docs.select("record_id", side).join(rows, "record_id", "left"), "rows")
+    k, m = min(topics, n, len(names)), len(names)
+    h = np.random.Generator(np.random.PCG64(seed)).random((k, m)) + 0.01
 
-        return run
+    def sums(batches, h: np.ndarray) -> np.ndarray:
+        """Σ w xᵀ and Σ w wᵀ over the documents, side by side."""
+        out = np.zeros((k, m + k))
+        hht = h @ h.T
+        for t in batches:
+            for i, x in zip(t.column("i").to_pylist(), t.column("x").to_pylist(), strict=True):
+                if i:
+                    i, x = np.array(i), np.array(x)
+                    w = _weights(x, i, h, hht)
+                    out[:, i] += np.outer(w, x)
+                    out[:, m:] += np.outer(w, w)
+        return out
 
     for _ in range(rounds):
-        a, b = np.zeros_like(h), np.zeros((k, k))
-        for r in rows.select("i", "x").mapInArrow(sums(h), "a binary, b binary").toLocalIterator():
-            a += np.frombuffer(r["a"]).reshape(h.shape)
-            b += np.frombuffer(r["b"]).reshape(k, k)
-        h = h * a / (b @ h + 1e-12)
+        got = summed(rows.select("i", "x"), partial(sums, h=h), (k, m + k))
+        h = h * got[:, :m] / (got[:, m:] @ h + 1e-12)
         h /= np.maximum(np.linalg.norm(h, axis=1, keepdims=True), 1e-12)
     hht = h @ h.T
 
