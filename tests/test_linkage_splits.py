@@ -165,7 +165,7 @@ def star_titles():
     return rows + [("d", f"m{i}", same) for i in range(9)] + [("d", "n1", same + " a"), ("d", "n2", same + " in a")]
 
 
-@pytest.mark.parametrize(("threshold", "block"), [(0.97, 2000), (0.9, 5), (0.8, 3)])
+@pytest.mark.parametrize(("threshold", "block"), [(0.97, 2000), (0.8, 3)])
 def test_fuzzy_edges_match_plain_neighbours(spark, threshold, block):
     rows = star_titles()
     df = spark.createDataFrame([(d, i, "", "[]", t, "", "") for d, i, t in rows], ITEM).repartition(3)
