@@ -76,3 +76,35 @@ def test_titles_decode_the_ampersand_alone(spark, tmp_path):
     got = ampersand_titles(spark, str(tmp_path)).select("page_id", T.clean_text("title").alias("t")).orderBy("page_id")
     assert [r["t"] for r in got.collect()] == ["a & b &quot;c&quot;", "cut &amp", "&lt; x", "plain"]
     assert spark.range(1).select(T.clean_text(F.lit("&quot;c&quot;")).alias("t")).first()["t"] == '"c"'
+
+
+def test_weights_of_a_batch_are_those_of_each_document():
+    from tessera.operators.topics import Weighted
+
+    r = np.random.default_rng(3)
+    h, sets = r.random((4, 9)), [[0, 3, 8], [], [2], [1, 2, 5, 7]]
+    xs = [r.random(len(s)).tolist() for s in sets]
+    got = Weighted(pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.int32())), pa.array(xs, pa.list_(pa.float64()))], ["i", "x"]), h)
+    sums = np.zeros((4, 13))
+    for k, (i, x) in enumerate(zip(sets, xs)):
+        w = np.full(4, sum(x) / h.sum())
+        for _ in range(30):
+            w *= (h[:, i] @ np.array(x) if i else np.zeros(4)) / (h @ h.T @ w + 1e-12)
+        assert np.allclose(got.w[k], w)
+        if i:
+            sums[:, i] += np.outer(w, x)
+        sums[:, 9:] += np.outer(w, w)
+    assert np.allclose(got.sums(9), sums)
+
+
+def test_totals_and_vectors_are_those_of_the_counts(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "record_id long, text string").repartition(2)
+    want = {(r["term"], r["df"], r["total"]) for r in V.vocabulary(V.term_counts(docs, "text", True)).collect()}
+    assert {tuple(r) for r in V.term_totals(docs, "text", True).select("term", "df", "total").collect()} == want
+    vocab = V.vocabulary(V.term_counts(docs, "text"), 2)
+    known = vocab.orderBy("term").collect()
+    idf = np.log((1 + len(TEXTS)) / (1 + np.array([r["df"] for r in known]))) + 1
+    names = [r["term"] for r in known]
+    got = {(r["record_id"], names[i]): x for r in V.vectors(docs, "text", names, idf).collect() for i, x in zip(r["i"], r["x"])}
+    plain_values = {(r["record_id"], r["term"]): r["tfidf"] for r in V.tfidf(V.term_counts(docs, "text"), vocab, len(TEXTS)).collect()}
+    assert got.keys() == plain_values.keys() and all(abs(got[k] - plain_values[k]) < 1e-12 for k in got)
