@@ -145,7 +145,7 @@ def bootstrap_draws(spark, sf):
     return s.withColumn("draw", F.substring(F.sha1(F.concat_ws("|", F.lit("613"), F.col("replicate").cast("string"), F.col("grp").cast("string")).cast("binary")), 1, 8))
 
 
-# Poisson(1) weights out of a hash, as operators.evaluation.draw_count has them
+# Poisson(1) weights out of a hash, as operators.draws has them
 _CUM = []
 _term, _total = 0.36787944117144233, 0.0
 for _k in range(8):
