@@ -4,9 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import density
 from tessera.operators.density import density_clusters, reachability
 from tessera.operators.models import cluster_topics, principal
 from tessera.operators.neighbours import graph_recall, neighbour_graph
+from tessera.runtime import Workspace
 
 
 def planted(seed=3):
@@ -144,6 +146,48 @@ def test_nothing_copies_and_one_cluster(spark):
     assert {(r.id % 2, r.cluster, r.probability) for r in two} == {(0, 0, 1.0), (1, 1, 1.0)}
 
 
+def test_hubs_take_few_rounds_and_the_driver_gets_a_forest(spark, monkeypatch):
+    x, _ = planted()
+    df = frame(spark, x)
+    made, taken = [], []
+    keep, merge = Workspace.keep, density.merge_all
+    monkeypatch.setattr(Workspace, "keep", lambda ws, d, name="t": made.append(name) or keep(ws, d, name))
+    monkeypatch.setattr(density, "merge_all", lambda sizes, born, links, m: taken.append((len(sizes), len(links))) or merge(sizes, born, links, m))
+    options = dict(min_size=20, min_samples=12, k=24, trees=2, refine=0)
+    whole = {r.id: (r.cluster, r.probability) for r in density_clusters(df, few=100_000, **options).collect()}
+    assert taken.pop()[1] < len(x) and "pairs" not in made
+    parts = {r.id: (r.cluster, r.probability) for r in density_clusters(df, few=0, **options).collect()}
+    assert 0 < made.count("pairs") <= 4 and taken[0][1] < taken[0][0] <= len(x) // 20
+    assert parts == whole and len({c for c, _ in whole.values()}) > 2
+
+
+def test_trees_too_large_for_a_task(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(0, 0.2, (40, 2)) + np.repeat([[0.0, 0.0], [3.0, 0.0]], 20, axis=0)
+    df, options = frame(spark, x), dict(min_size=4, k=12, few=0, trees=1, refine=0)
+    want = sorted(density_clusters(df, **options).collect())
+    monkeypatch.setattr(density, "TREE", 1)
+    assert sorted(density_clusters(df, **options).collect()) == want and len({r.cluster for r in want}) > 1
+
+
+def test_forest_of_many_tasks(spark):
+    r = np.random.default_rng(4)
+    links = sorted({(int(min(a, b)), int(max(a, b))) for a, b in r.integers(0, 60, (900, 2)) if a != b})
+    links = [(a, b, float(w), a, b) for (a, b), w in zip(links, r.integers(1, 9, len(links)), strict=True)]
+    df = spark.createDataFrame(links, "a long, b long, w double, e long, f long")
+    parent = list(range(60))
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    want = set()
+    for a, b, w, e, f in sorted(links, key=lambda x: x[2:]):
+        if root(a) != root(b):
+            parent[root(b)] = root(a)
+            want.add((a, b, w, e, f))
+    assert {tuple(r) for r in density.spanning_forest(Workspace(spark), df, 60, rows=100).collect()} == want
+    assert density.spanning_forest(Workspace(spark), df.limit(0), 0).collect() == []
+
+
 def test_topics_by_density(spark):
     x, truth = planted()
     df = spark.createDataFrame([(f"r{i:03d}", [float(v) for v in row]) for i, row in enumerate(x)], "record_id string, vector array<double>")
