@@ -108,3 +108,46 @@ def test_totals_and_vectors_are_those_of_the_counts(spark):
     got = {(r["record_id"], names[i]): x for r in V.vectors(docs, "text", names, idf).collect() for i, x in zip(r["i"], r["x"])}
     plain_values = {(r["record_id"], r["term"]): r["tfidf"] for r in V.tfidf(V.term_counts(docs, "text"), vocab, len(TEXTS)).collect()}
     assert got.keys() == plain_values.keys() and all(abs(got[k] - plain_values[k]) < 1e-12 for k in got)
+
+
+def test_pages_keep_address_body_and_entities(spark, tmp_path):
+    """Keys and ids of a page come from its address, title and text outside the markup, as in the SQL."""
+    import duckdb
+
+    from tessera.plans import linkage, scalar  # noqa: F401
+    from tessera.plans.registry import oracle_sql, queries
+
+    long = " ".join(f"word{i}" for i in range(40))
+    rows = [
+        (1, "https://www.Example.com//a/b/?utm_source=x&b=2", f"<title>Six words &quot;in&quot; a long title &amp</title><script>no</script><p>{long} &middot; end</p>"),
+        (2, "https://example.com/a/b?b=2", f"<title>short</title><!-- no --><p>{long}</p>"),
+        (3, None, "<title>null</title><p>few words"),
+        (4, "https://example.com/", "<title>A title of quite enough words here</title>"),
+        (5, None, None),
+    ]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("family_exact_keys", "family_group_id"):
+        got = sorted(tuple(r) for r in queries()[name](spark, str(tmp_path)).collect())
+        assert got == sorted(c.execute(oracle_sql()[name]).fetchall()), name
+        if name == "family_exact_keys":
+            assert [k for r, k in got if k.startswith("url:")] == ["url:https://example.com/a/b?b=2"] * 2
+            assert [r for r, k in got if k.startswith("body:")] == ["1", "2"]
+        else:
+            assert got[0][1] == got[1][1]
+
+
+def test_tfidf_has_pairs_and_no_accents(spark, tmp_path):
+    import duckdb
+
+    from tessera.plans import modelling  # noqa: F401
+    from tessera.plans.registry import oracle_sql, queries
+
+    rows = [(1, "Café déjà vu"), (2, "cafe deja-vu vu"), (3, None), (4, ""), (5, "été")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in queries()["tfidf"](spark, str(tmp_path)).collect())
+    assert got == sorted(c.execute(oracle_sql()["tfidf"]).fetchall())
+    assert {t for _, t, _ in got} == {"cafe", "deja", "vu", "cafe deja", "deja vu"}
