@@ -229,3 +229,11 @@ def test_repeats_in_one_job(spark):
         assert bits == own
     with pytest.raises(ContractError):
         P.repeat_memberships(r, "grp", 30, 5)
+
+
+def test_near_titles_meet_by_exchanges(spark):
+    """The driver builds no broadcast of a part of the titles: what meets on an n-gram is merged."""
+    df = spark.createDataFrame([("d", f"r{i}", f"one telling title about the same matter number {i % 3}") for i in range(9)], "dataset string, record_id string, title string")
+    pairs = L.similar_pairs(L.title_vectors(df.select("dataset", F.col("record_id").alias("id"), F.lit(1).alias("times"), "title")), 0.97)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan.split("Join")[1] and plan.count("strategy=merge") >= 3
